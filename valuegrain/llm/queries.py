@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, mixing, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_url_filter": url_filter.op4_url_filter,
+    "op5_mixing": mixing.op5_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_mixing": mixing.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
