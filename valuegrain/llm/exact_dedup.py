@@ -22,8 +22,12 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, shared_dir, table, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on the executors' disks; RocksDB else reserves 4 MB a store for its logs.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -63,8 +67,9 @@ def keep_state(stream: DataFrame, digest: Callable[[Column], Column] = sha256) -
     def save(batch: DataFrame, number: int) -> None:  # idempotent: a batch that is run again replaces its rows
         batch.write.mode("overwrite").parquet(f"{work}/updates/batch={number}")
 
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         run = (
             state.writeStream.outputMode("update")
@@ -75,7 +80,8 @@ def keep_state(stream: DataFrame, digest: Callable[[Column], Column] = sha256) -
         )
         run.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     kind = "digest string, best struct<n: bigint, rank: bigint, doc_id: bigint, locator: string>, group_size bigint, batch bigint"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{work}/updates")
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
