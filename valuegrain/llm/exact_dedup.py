@@ -28,6 +28,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
+#: Hit digests are broadcast, as 8-byte hashes, up to this number (about 64 MB); beyond it they are joined by shuffle.
+MAX_BROADCAST_HITS = 2_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -109,7 +111,10 @@ def exact_dedup(docs: DataFrame, stream: DataFrame | None = None, digest: Callab
     state = written(keep_state(stream.select("doc_id", "text", "_metadata"), digest))
     norm = normalised(F.col("text"))
     rows = docs.select("doc_id", "text", digest(norm).alias("digest"))
-    hits = rows.join(state.filter("group_size > 1").select("digest"), "digest", "left_semi")
+    # the full bytes of hits only: where few enough, their hashed digests reach the scan and no other text is moved
+    again = state.filter("group_size > 1").select(F.xxhash64("digest").alias("hit"))
+    few = again.count() <= MAX_BROADCAST_HITS
+    hits = rows.withColumn("hit", F.xxhash64("digest")).join(F.broadcast(again) if few else again, "hit", "left_semi")
     full = hits.groupBy("digest").agg(F.min(norm).alias("low"), F.max(norm).alias("high"))
     clash = written(full.filter("low <> high").select("digest"))
     out = rows.select("doc_id", "digest", sha256(norm).alias("text_sha256")).join(state, "digest")
