@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_crf, mixing, url_filter
+from . import exact_dedup, language_gru, line_crf, mixing, quality_nbsvm, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_crf": line_crf.op1_line_crf,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_mixing": mixing.op5_mixing,
+    "op6_language_gru": language_gru.op6_language_gru,
+    "op7_quality_nbsvm": quality_nbsvm.op7_quality_nbsvm,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
