@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_gru, line_crf, mixing, quality_nbsvm, url_filter
+from . import exact_dedup, html_lstm, language_gru, line_crf, mixing, quality_nbsvm, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_crf": line_crf.op1_line_crf,
+    "op3_html_lstm": html_lstm.op3_html_lstm,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_mixing": mixing.op5_mixing,
     "op6_language_gru": language_gru.op6_language_gru,
