@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_lstm, language_gru, line_crf, mixing, quality_nbsvm, url_filter
+from . import exact_dedup, html_lstm, language_gru, line_crf, mixing, near_dedup, quality_nbsvm, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_crf": line_crf.op1_line_crf,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_html_lstm": html_lstm.op3_html_lstm,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_mixing": mixing.op5_mixing,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_near_dedup": near_dedup.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
