@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_lstm, language_gru, line_crf, mixing, near_dedup, packing, quality_nbsvm, url_filter
+from . import backoff_lm, exact_dedup, html_lstm, language_gru, line_crf, mixing, near_dedup, packing, quality_nbsvm, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_crf": line_crf.op1_line_crf,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_gru": language_gru.op6_language_gru,
     "op7_quality_nbsvm": quality_nbsvm.op7_quality_nbsvm,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_backoff_lm": backoff_lm.op9_backoff_lm,
     "op10_packing": packing.op10_packing,
 }
 
@@ -24,4 +25,5 @@ ORACLES: dict[str, str] = {
     "op2_near_dedup": near_dedup.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op9_backoff_lm": backoff_lm.ORACLE,
 }
