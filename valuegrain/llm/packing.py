@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .tokens import Encoder, tokenizer_path
+from .tokens import encoder, tokenizer_path
 
 LIMIT = 4096
 END = (1).to_bytes(4, "little")
@@ -46,7 +46,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, limit: int = LIMIT, w
     """doc_id, piece, start, length, ids_crc32 of every document's pieces; ``with_ids`` adds the ids' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path or tokenizer_path())
+        encode = encoder(path or tokenizer_path())
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)

@@ -1,9 +1,9 @@
 """Token ids of whole texts by a public tokenizer file, with a cache of word pieces.
 
 The tokenizer lower-cases, drops white space and splits a text by a fixed pattern into pieces
-that are encoded on their own, so equal pieces have equal ids.  Texts of common Latin characters
-are split here and only pieces not seen before go to the tokenizer; all other texts (and those
-that hold its special tokens) go to the tokenizer whole.  Both ways give the same ids.
+that are encoded on their own and never hold white space, so equal words have equal ids.  Texts of
+common Latin characters are split here and only pieces not seen before go to the tokenizer; all
+other texts (and those that hold its special tokens) go to it whole.  Both ways give the same ids.
 """
 
 from __future__ import annotations
@@ -12,13 +12,14 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from functools import cache
 
 #: Characters for which Python's and the tokenizer's lower-casing and classes agree.
 _OTHER = re.compile("[^\t\n\x0b\x0c\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ſ–—‘-‟•…€]|<\\|(?:start|end)oftext\\|>")
 #: The tokenizer's own pattern, for those characters.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
-#: Pieces remembered by a worker (about 200 bytes each).
-MAX_CACHE = 1_000_000
+#: Words and pieces remembered by a worker (about 200 bytes each).
+MAX_CACHE = 600_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -27,6 +28,17 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Words(dict):
+    """Ids of words; a word not known is noted and stands for itself until it is."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> str:
+        self.new.append(word)
+        return word
+
+
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes."""
 
@@ -35,21 +47,50 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.words = _Words()  # of texts split at white space
+        self.pieces: dict[str, bytes] = {}  # of words split by the pattern
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch(texts, add_special_tokens=False):
-            yield struct.pack(f"<{len(e.ids)}I", *e.ids)
+        run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # the fast form keeps no offsets
+        for e in run(texts, add_special_tokens=False):
+            ids = e.ids
+            yield struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        split = list(map(_PIECES, words))
+        new = list(set().union(*split).difference(self.pieces))
+        self.pieces.update(zip(new, self._encode(new), strict=True))
+        get = self.pieces.__getitem__
+        return {w: b"".join(map(get, p)) for w, p in zip(words, split, strict=True)}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if t and _OTHER.search(t) else _PIECES(t.lower()) if t else [] for t in texts]
-        whole = [t for t, pieces in zip(texts, split, strict=True) if pieces is None]
-        whole_ids = self._encode(whole)
-        if len(self.cache) > MAX_CACHE:
-            self.cache.clear()
-        new = set().union(*filter(None, split)).difference(self.cache)
+        for cache in (self.words, self.pieces):
+            if len(cache) > MAX_CACHE:
+                cache.clear()
+        split = [None if t and _OTHER.search(t) else t.lower().split() if t else [] for t in texts]
+        whole_ids = self._encode([t for t, words in zip(texts, split, strict=True) if words is None])
+        get, new, out, open_rows = self.words.__getitem__, self.words.new, [], []
+        for i, words in enumerate(split):
+            if words is None:
+                out.append(next(whole_ids))
+                continue
+            before = len(new)
+            found = list(map(get, words))
+            if len(new) > before:
+                open_rows.append(i)
+                out.append(found)
+            else:
+                out.append(b"".join(found))
         if new:
-            new_list = list(new)
-            self.cache.update(zip(new_list, self._encode(new_list), strict=True))
-        get = self.cache.__getitem__
-        return [next(whole_ids) if pieces is None else b"".join(map(get, pieces)) for pieces in split]
+            known = self._learn(list(set(new)))
+            self.words.update(known)
+            new.clear()
+            for i in open_rows:
+                out[i] = b"".join([x if type(x) is bytes else known[x] for x in out[i]])
+        return out
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One per worker process, so that later tasks find its caches filled."""
+    return Encoder(path)
