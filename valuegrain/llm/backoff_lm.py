@@ -10,7 +10,8 @@ Relations, each row a packed block so that neither rows nor bytes explode:
 
 * documents by block (a hash of the row), about ``BLOCK_CHARS`` of text each;
 * exploded n-grams (block, part, hashes, counts): distinct within the block before the shuffle, so
-  a frequent n-gram is one entry per block and no part is hot; ``part`` is the top of the hash;
+  a frequent n-gram is one entry per block and no part is hot; ``part`` is the top of the hash, the
+  rest is sorted and packed as steps;
 * n-gram counts: all blocks' rows of a part are summed, and the totals join back to (block, part);
 * scores: a block's documents with its totals, summed per document.
 
@@ -42,6 +43,32 @@ MIN_PARTS = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Ascending numbers as steps of the fewest bytes that hold them all; the first byte says how many."""
+    steps = np.diff(x, prepend=np.uint64(0))
+    size = max(1, -(-int(steps.max()).bit_length() // 8)) if len(x) else 1
+    return bytes([size]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    steps = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, raw[0])
+    wide = np.zeros((len(steps), 8), np.uint8)
+    wide[:, : raw[0]] = steps
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+
+
+def pack_counts(c: np.ndarray) -> bytes:
+    """Counts as bytes; those from 255 on follow in full."""
+    return len(c).to_bytes(4, "little") + np.minimum(c, 255).astype(np.uint8).tobytes() + c[c >= 255].astype("<u8").tobytes()
+
+
+def unpack_counts(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    c = np.frombuffer(raw, np.uint8, n, 4).astype(np.int64)
+    c[c == 255] = np.frombuffer(raw, "<u8", offset=4 + n)
+    return c
+
+
 class Block:
     """The words of some documents and the hashes of their n-grams, in ``bits`` bits."""
 
@@ -101,26 +128,24 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     def explode(frame: pd.DataFrame) -> pd.DataFrame:
         b = Block(frame["text"].tolist(), order, bits, Words())
-        part, counts = (b.grams >> low).astype(np.int64), b.counts().astype("<u4")
+        part, counts = (b.grams >> low).astype(np.int64), b.counts()
         start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
-        packed = b.grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+        rest = b.grams & ((np.uint64(1) << low) - np.uint64(1))
         cut = list(zip(start, np.r_[start[1:], len(part)], strict=True)) if len(part) else []
         return pd.DataFrame(
-            {"part": part[start], "block": int(frame["block"].iloc[0]) if len(frame) else 0, "grams": [packed[i:j].tobytes() for i, j in cut], "counts": [counts[i:j].tobytes() for i, j in cut]}
+            {"part": part[start], "block": int(frame["block"].iloc[0]) if len(frame) else 0, "grams": [pack_sorted(rest[i:j]) for i, j in cut], "counts": [pack_counts(counts[i:j]) for i, j in cut]}
         )
 
     def total(frame: pd.DataFrame) -> pd.DataFrame:
-        raw = np.frombuffer(b"".join(frame["grams"]), np.uint8).reshape(-1, width)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :width] = raw
-        _, of = np.unique(wide.view("<u8").ravel(), return_inverse=True)
-        sums = np.bincount(of, np.frombuffer(b"".join(frame["counts"]), "<u4"))[of].astype("<u8")
-        cut = np.cumsum([len(g) // width for g in frame["grams"]])[:-1]
-        return pd.DataFrame({"block": frame["block"], "part": frame["part"], "totals": [x.tobytes() for x in np.split(sums, cut)]})
+        grams = list(map(unpack_sorted, frame["grams"]))
+        _, of = np.unique(np.concatenate(grams), return_inverse=True)
+        sums = np.bincount(of, np.concatenate(list(map(unpack_counts, frame["counts"]))))[of].astype(np.int64)
+        cut = np.cumsum(list(map(len, grams)))[:-1]
+        return pd.DataFrame({"block": frame["block"], "part": frame["part"], "totals": list(map(pack_counts, np.split(sums, cut)))})
 
     def score(frame: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
         b = Block(frame["text"].tolist(), order, bits, Words())
-        totals = np.frombuffer(b"".join(sums.sort_values("part")["totals"]), "<u8").astype(np.float64)
+        totals = np.concatenate([np.zeros(0), *map(unpack_counts, sums.sort_values("part")["totals"])])
         if len(totals) != len(b.grams):
             raise ValueError("the block's documents changed between the count and the score")
         logs, back = b.scores(totals, corpus_words)
