@@ -18,8 +18,13 @@ from functools import cache
 _OTHER = re.compile("[^\t\n\x0b\x0c\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ſ–—‘-‟•…€]|<\\|(?:start|end)oftext\\|>")
 #: The tokenizer's own pattern, for those characters.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
-#: Words and pieces remembered by a worker (about 200 bytes each).
-MAX_CACHE = 600_000
+#: Words and pieces remembered by a worker (about 200 bytes each): the first it meets, so the common ones;
+#: after STALE times as many others, it starts anew.
+STALE = 20
+MAX_CACHE = 300_000
+#: Byte-level tokenizers write visible Latin-1 bytes as themselves, the others as characters from 256 on.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -47,26 +52,32 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.late = 0  # words met since the caches were full
         self.words = _Words()  # of texts split at white space
         self.pieces: dict[str, bytes] = {}  # of words split by the pattern
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # the fast form keeps no offsets
-        for e in run(texts, add_special_tokens=False):
+        for e in self.tokenizer.encode_batch(texts, add_special_tokens=False):
             ids = e.ids
             yield struct.pack(f"<{len(ids)}I", *ids)
 
+    def _encode_pieces(self, pieces: list[str]) -> Iterator[bytes]:
+        """The same for single pieces: they need no more than the model, on their bytes' characters."""
+        for p in pieces:
+            found = self.model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES))
+            yield struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         split = list(map(_PIECES, words))
         new = list(set().union(*split).difference(self.pieces))
-        self.pieces.update(zip(new, self._encode(new), strict=True))
-        get = self.pieces.__getitem__
-        return {w: b"".join(map(get, p)) for w, p in zip(words, split, strict=True)}
+        known = dict(zip(new, self._encode_pieces(new), strict=True))
+        if len(self.pieces) < MAX_CACHE:
+            self.pieces.update(known)
+        get, other = self.pieces.get, known.get
+        return {w: b"".join([get(x) or other(x) for x in p]) for w, p in zip(words, split, strict=True)}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        for cache in (self.words, self.pieces):
-            if len(cache) > MAX_CACHE:
-                cache.clear()
         split = [None if t and _OTHER.search(t) else t.lower().split() if t else [] for t in texts]
         whole_ids = self._encode([t for t, words in zip(texts, split, strict=True) if words is None])
         get, new, out, open_rows = self.words.__getitem__, self.words.new, [], []
@@ -83,7 +94,14 @@ class Encoder:
                 out.append(b"".join(found))
         if new:
             known = self._learn(list(set(new)))
-            self.words.update(known)
+            if len(self.words) < MAX_CACHE:
+                self.words.update(known)
+            else:
+                self.late += len(known)
+            if self.late > STALE * MAX_CACHE:  # other words are common by now
+                self.words.clear()
+                self.pieces.clear()
+                self.late = 0
             new.clear()
             for i in open_rows:
                 out[i] = b"".join([x if type(x) is bytes else known[x] for x in out[i]])
