@@ -40,8 +40,8 @@ def fnv_hex(text: Column) -> Column:
 
 @F.pandas_udf(_struct(field_set_hash=T.StringType(), type_set_hash=T.StringType(), shape_id=T.StringType()))
 def shape_ids(canon: pd.Series, site: pd.Series, schema: pd.Series, field_set: pd.Series, type_set: pd.Series) -> pd.DataFrame:
-    fields, types = _hex(fnv64_distinct(field_set.tolist())), _hex(fnv64_distinct(type_set.tolist()))
-    whole = [UNIT.join(x) for x in zip(canon, site.fillna(""), schema, fields, types, strict=True)]
+    fields, types = (_hex(fnv64_distinct(x.fillna("").tolist())) for x in (field_set, type_set))
+    whole = [UNIT.join(x) for x in zip(canon.fillna(""), site.fillna(""), schema, fields, types, strict=True)]
     return pd.DataFrame({"field_set_hash": fields, "type_set_hash": types, "shape_id": _hex(fnv64_distinct(whole))})
 
 

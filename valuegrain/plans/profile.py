@@ -18,7 +18,7 @@ from ..operators.context import resolve, unresolved_warning
 from ..operators.fields import explode_fields, shape_fields, summary_counts
 from ..operators.ids import with_shape_ids
 from ..operators.shapes import shapes
-from ..operators.walk import scan, set_texts
+from ..operators.walk import scan
 from ..perf import PerfLog
 from ..sources.documents import read_documents
 from ..sources.refs import Refs, load_refs
@@ -44,9 +44,8 @@ class ProfileResult:
 
 
 def object_frame(scanned: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
-    """Objects of a scan with their context, set texts and shape ids."""
-    objects = scanned.filter("path IS NOT NULL").drop("n_arrays", "n_scalars")
-    return with_shape_ids(set_texts(resolve(objects, contexts)))
+    """Objects of a scan with their context and shape ids."""
+    return with_shape_ids(resolve(scanned.filter("path IS NOT NULL").drop("n_arrays", "n_scalars"), contexts))
 
 
 def source_summary(documents: DataFrame, objects: DataFrame, shape_table: DataFrame, field_table: DataFrame, value_table: DataFrame, source_format: str) -> DataFrame:
@@ -65,11 +64,9 @@ def profile_documents(docs: DataFrame, config: ProfileConfig | None = None, refs
     """Profile documents (doc_idx, raw)."""
     config, perf = config or ProfileConfig(), perf or PerfLog()
     config.validate()
-    with perf.phase("scan.walk"):
-        scanned = scan(docs, config.scanner)
-        everything = materialize(scanned)
-    with perf.phase("scan.shapes"):
-        objects = materialize(object_frame(everything, refs.contexts if refs else None))
+    with perf.phase("scan.walk"):  # objects with their ids, and the documents' counts, in one table
+        everything = materialize(with_shape_ids(resolve(scan(docs, config.scanner), refs.contexts if refs else None)))
+        objects = everything.filter("path IS NOT NULL")
     with perf.phase("scan.fields"):
         fields = materialize(explode_fields(objects))
     options = config.value_profile

@@ -29,7 +29,7 @@ from . import diagnose as d
 from .profile import object_frame, profile_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
-CONFIG = ProfileConfig(scanner="native", heavy_hitters="exact")
+CONFIG = ProfileConfig(heavy_hitters="exact")
 
 
 # ------------------------------------------------------------------ documents
@@ -41,7 +41,9 @@ def event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document per order: its items as an array, fields that are absent in some, empties."""
-    orders, lines = spark.read.parquet(f"{sf_dir}/orders.parquet"), spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").repartition(n, "o_orderkey")  # one shuffle each, for group and join
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition(n, "l_orderkey")
     item = F.struct(
         F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_quantity").cast("int").alias("qty"), F.when(F.col("l_returnflag") == "R", "R").alias("ret")
     )
@@ -105,7 +107,7 @@ U = "chr(31)"
 
 
 def order_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return object_frame(scan(order_docs(spark, sf_dir), "native"))
+    return object_frame(scan(order_docs(spark, sf_dir)))
 
 
 def order_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,13 +115,14 @@ def order_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return object_frame(scan(event_docs(spark, sf_dir), "native"))
+    return object_frame(scan(event_docs(spark, sf_dir)))
 
 
 # ------------------------------------------------------------------ scans and paths
 
 
 def scan_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes by type, from VARIANT values."""
     return nodes(order_docs(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n_nodes"))
 
 
@@ -129,7 +132,7 @@ def path_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resolve_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.createDataFrame([("$", "$", "refs/order.json"), ("$.items[0]", "$.items[]", "refs/item.json"), ("$.items[1]", "$.items[]", "refs/item.json")], "site_path string, canonical_path string, schema_path string")
-    found = resolve(scan(order_docs(spark, sf_dir), "native").filter("path IS NOT NULL"), known)
+    found = resolve(scan(order_docs(spark, sf_dir)).filter("path IS NOT NULL"), known)
     return found.groupBy("canonical_path", "site_path", "schema_path", "resolved").agg(F.count("*").alias("n_objects"))
 
 
