@@ -16,10 +16,10 @@ class PerfLog:
         if path:
             open(path, "w").close()
 
-    def event(self, name: str, **facts: object) -> None:
+    def event(self, what: str, /, **facts: object) -> None:
         if not self.enabled:
             return
-        line = f"[perf] t={time.time() - self.started:.3f}s {name}" + "".join(f" {k}={v}" for k, v in facts.items()) + "\n"
+        line = f"[perf] t={time.time() - self.started:.3f}s {what}" + "".join(f" {k}={v}" for k, v in facts.items()) + "\n"
         if self.path:
             with open(self.path, "a") as out:
                 out.write(line)
