@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, shared_dir, table, written
 
-#: State on the executors' disks; RocksDB else reserves 4 MB a store for its logs.
+#: State on the executors' disks; RocksDB else reserves 4 MB of disk a store for its logs and 8 MB of memory for its writes.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.rocksdb.blockCacheSizeMB": "2",
 }
 #: Hit digests are broadcast, as 8-byte hashes, up to this number (about 64 MB); beyond it they are joined by shuffle.
 MAX_BROADCAST_HITS = 2_000_000
