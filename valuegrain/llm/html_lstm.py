@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import slices, table
 from .html_blocks import Block, read_blocks
 
 PATH_SLOTS, WORD_SLOTS = 4096, 2048
@@ -348,13 +348,11 @@ def extract(pages: DataFrame, net: Labeller) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict = {}
         memo: dict = {}
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                blocks = [read_blocks(x.as_py(), names) for x in batch.column(2)]
-                texts = net.main_text(blocks, memo)
-                n = [pa.array(list(map(len, x)), pa.int64()) for x in (texts, blocks)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), *n], ["page_id", "url", "text", "n_chars", "n_blocks"])
+        for batch in slices(batches, 512):
+            blocks = [read_blocks(x.as_py(), names) for x in batch.column(2)]
+            texts = net.main_text(blocks, memo)
+            n = [pa.array(list(map(len, x)), pa.int64()) for x in (texts, blocks)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), *n], ["page_id", "url", "text", "n_chars", "n_blocks"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long, n_blocks long")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_order, table, written
+from .common import hash_order, slices, table, written
 from .quality_nbsvm import fold
 
 #: Documents of a language to train on, about, and characters of each.
@@ -31,7 +31,7 @@ TRAIN_CHARS = 1500
 HIDDEN = 8
 SEGMENT = 128
 #: Segments that run as one batch.
-BATCH = 4096
+BATCH = 2048
 UNDETERMINED = "und"
 F4 = np.float32
 
@@ -195,7 +195,7 @@ def predict(docs: DataFrame, net: Gru) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 400):
             texts = [t if t and any(map(str.isalpha, t)) else "" for t in batch.column(2).to_pylist()]
             lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             if len(net.langs) == 1:

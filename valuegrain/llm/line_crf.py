@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_order, table
+from .common import hash_order, slices, table
 
 #: Labelled documents to train on, at most.
 MAX_TRAIN = 1500
@@ -163,7 +163,7 @@ def line_quality(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], content_
     w, t = (np.asarray(x, np.float64) for x in model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1000):
             out: list[list] = [[] for _ in range(8)]
             for text in batch.column(1):
                 base, feats, counts = analyse(text.as_py())

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import slices, table, written
 from .components import components
 
 SHINGLE = 5
@@ -93,17 +93,15 @@ def sketches(docs: DataFrame, keep_set: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                n, digest, last = [], [], []
-                for x in batch.column(1):
-                    s = shingle_set(x.as_py(), words)
-                    raw = s.tobytes()
-                    n.append(len(s))
-                    digest.append(hashlib.blake2b(raw, digest_size=16).digest() if len(s) else None)
-                    last.append(raw if keep_set else signature(s) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(last, pa.binary())], ["doc_id", "n_shingles", "digest", "sketch"])
+        for batch in slices(batches, 500):
+            n, digest, last = [], [], []
+            for x in batch.column(1):
+                s = shingle_set(x.as_py(), words)
+                raw = s.tobytes()
+                n.append(len(s))
+                digest.append(hashlib.blake2b(raw, digest_size=16).digest() if len(s) else None)
+                last.append(raw if keep_set else signature(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(last, pa.binary())], ["doc_id", "n_shingles", "digest", "sketch"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, digest binary, sketch binary")
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import slices, table, written
 from .tokens import encoder, tokenizer_path
 
 LIMIT = 4096
@@ -47,23 +47,22 @@ def token_pieces(docs: DataFrame, path: str | None = None, limit: int = LIMIT, w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path or tokenizer_path())
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                row, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, raw in enumerate(encode(batch.column(1).to_pylist())):
-                    raw += END
-                    for k, lo in enumerate(range(0, len(raw), 4 * limit)):
-                        part = raw[lo : lo + 4 * limit]
-                        row.append(i)
-                        piece.append(k)
-                        start.append(lo // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
+        for batch in slices(batches, 256):
+            row, piece, start, length, crc, ids = [], [], [], [], [], []
+            for i, raw in enumerate(encode(batch.column(1).to_pylist())):
+                raw += END
+                for k, lo in enumerate(range(0, len(raw), 4 * limit)):
+                    part = raw[lo : lo + 4 * limit]
+                    row.append(i)
+                    piece.append(k)
+                    start.append(lo // 4)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+                    if with_ids:
                         ids.append(part)
-                cols = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.binary())] if with_ids else cols, [*names, "ids"] if with_ids else names)
+            cols = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.binary())] if with_ids else cols, [*names, "ids"] if with_ids else names)
 
     kind = f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long"
     return docs.select("doc_id", "text").mapInArrow(run, kind + ", ids binary" * with_ids)

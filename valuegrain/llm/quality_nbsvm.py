@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_order, table
+from .common import hash_order, slices, table
 
 #: Labelled documents to train on, at most.
 MAX_TRAIN = 3000
@@ -183,7 +183,7 @@ def score(docs: DataFrame, model: NbSvm) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
-        for batch in batches:
+        for batch in slices(batches, 1000):
             s = np.array([model.score(grams(x.as_py())) for x in batch.column(2)], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
