@@ -23,8 +23,7 @@ def non_empty(kind: Column, text: Column) -> Column:
 
 def shape_fields(fields: DataFrame) -> DataFrame:
     nulls = F.count_if(F.col("observed_type") == "null")
-    names = ["shape_id", "field_name", "observed_type"]
-    return fields.groupBy("field_profile_id").agg(*(F.any_value(c).alias(c) for c in names), F.count("*").alias("observed_count"), nulls.alias("null_count"))
+    return fields.groupBy("field_profile_id", "shape_id", "field_name", "observed_type").agg(F.count("*").alias("observed_count"), nulls.alias("null_count"))
 
 
 def summary_counts(fields: DataFrame) -> DataFrame:

@@ -21,9 +21,13 @@ def _joined(*parts: Column | str) -> Column:
     return F.concat_ws(UNIT, *(F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts))
 
 
-def _first(rows: DataFrame, keys: list[str], kind: str, carried: list[str]) -> DataFrame:
-    first = F.min(F.struct("doc_idx", "ord", *carried)).alias("first")
-    return rows.groupBy(*keys).agg(first).select(*keys, "first.*", F.lit(kind).alias("sample_kind"), F.lit(None).cast("long").alias("sample_priority"), F.lit(None).cast("int").alias("sample_rank"))
+def _firsts(rows: DataFrame, keys: list[str], some: Column, carried: list[str]) -> DataFrame:
+    """The first row of each key, and the first that is not empty, by one aggregation."""
+    place = F.struct("doc_idx", "ord", *carried)
+    both = rows.groupBy(*keys).agg(F.min(place).alias("seen"), F.min(F.when(some, place)).alias("full"))
+    kinds = F.array(F.struct(F.lit(FIRST_SEEN).alias("sample_kind"), F.col("seen").alias("at")), F.struct(F.lit(FIRST_NON_EMPTY).alias("sample_kind"), F.col("full").alias("at")))
+    found = both.select(*keys, F.inline(kinds)).filter("at IS NOT NULL")
+    return found.select(*keys, "at.*", "sample_kind", F.lit(None).cast("long").alias("sample_priority"), F.lit(None).cast("int").alias("sample_rank"))
 
 
 def _least(rows: DataFrame, keys: list[str], limit: int, path: str, carried: list[str]) -> DataFrame:
@@ -35,15 +39,15 @@ def _least(rows: DataFrame, keys: list[str], limit: int, path: str, carried: lis
 
 def object_samples(objects: DataFrame, options: Sampling) -> DataFrame:
     """Samples of each scope's keys: path, site, field set, type set."""
-    kept = objects.select("doc_idx", "ord", "path", "shape_id", (F.size("fields") > 0).alias("some"), scope_keys("canonical_path", "site_path", "field_set_hash", "type_set_hash", "doc_idx", "path").alias("keys"))
-    rows = kept.select("doc_idx", "ord", "path", "shape_id", "some", F.inline("keys")).withColumnRenamed("scope", "sample_scope").withColumnRenamed("key", "sample_key")
-    keys, carried = ["sample_scope", "sample_key"], ["path", "shape_id"]
+    kept = objects.select("doc_idx", "ord", "path", (F.size("fields") > 0).alias("some"), scope_keys("canonical_path", "site_path", "field_set_hash", "type_set_hash", "doc_idx", "path").alias("keys"))
+    rows = kept.select("doc_idx", "ord", "path", "some", F.inline("keys")).withColumnRenamed("scope", "sample_scope").withColumnRenamed("key", "sample_key")
+    keys, carried = ["sample_scope", "sample_key"], []  # an object's facts are joined by its place
     limits = {"canonical_path": options.canonical_priority_limit, "site_path": options.site_priority_limit, "field_set": options.field_set_priority_limit, "type_set": options.type_set_priority_limit}
     own = F.element_at(F.create_map(*(F.lit(x) for kv in limits.items() for x in kv)), F.col("sample_scope"))
     least = _least(rows, keys, max(limits.values()), "path", carried).filter(F.col("sample_rank") <= own)
-    picked = _first(rows, keys, FIRST_SEEN, carried).unionByName(_first(rows.filter("some"), keys, FIRST_NON_EMPTY, carried)).unionByName(least)
+    picked = _firsts(rows, keys, F.col("some"), carried).unionByName(least)
     sample_id = fnv_hex(_joined("sample_scope", "sample_key", "sample_kind", "doc_idx", "path", "sample_priority", "shape_id"))
-    facts = objects.select("doc_idx", "ord", "canonical_path", "site_path", "schema_path", "field_set_hash", "type_set_hash", "json")
+    facts = objects.select("doc_idx", "ord", "path", "shape_id", "canonical_path", "site_path", "schema_path", "field_set_hash", "type_set_hash", "json")
     limit = options.object_json_limit_bytes
     return picked.join(facts, ["doc_idx", "ord"]).select(
         sample_id.alias("object_sample_id"),
@@ -70,8 +74,7 @@ def value_samples(fields: DataFrame, objects: DataFrame, options: Sampling) -> D
     """Samples of each field profile's values, with the object they stand in."""
     keys, carried = ["field_profile_id"], ["source_path", "value_hash", "observed_type", "text"]
     slim = fields.select("field_profile_id", "doc_idx", "ord", "source_path", "value_hash", "observed_type", "text", "priority")
-    some = slim.filter(non_empty(F.col("observed_type"), F.col("text")))
-    picked = _first(slim, keys, FIRST_SEEN, carried).unionByName(_first(some, keys, FIRST_NON_EMPTY, carried))
+    picked = _firsts(slim, keys, non_empty(F.col("observed_type"), F.col("text")), carried)
     picked = picked.unionByName(_least(slim, keys, options.value_priority_limit_per_field_profile, "source_path", carried)).withColumn("value_hash", hex64(F.col("value_hash")))
     sample_id = fnv_hex(_joined("field_profile_id", "sample_kind", "doc_idx", "source_path", "value_hash", "sample_priority"))
     value = F.when(F.col("observed_type") == "string", quote(F.col("text"))).otherwise(F.col("text"))

@@ -9,7 +9,10 @@ SHAPE = ["shape_id", "canonical_path", "site_path", "schema_path", "field_set_ha
 
 
 def shapes(objects: DataFrame) -> DataFrame:
-    """One row per shape: its texts, how many objects, and the first in document order."""
-    first = F.min(F.struct("doc_idx", "ord", "path")).alias("first")
-    grouped = objects.groupBy("shape_id").agg(*(F.any_value(c).alias(c) for c in SHAPE[1:]), F.count("*").alias("object_count"), first)
-    return grouped.select(*SHAPE, "object_count", F.col("first.doc_idx").alias("first_seen_document_index"), F.col("first.path").alias("first_seen_path"))
+    """One row per shape: its texts, how many objects, and the first in document order.
+
+    All texts follow from the id, so they are group keys (which hash) rather than aggregates (which would
+    sort).  A shape has one site and a site is one path, so the path of the first object is the site.
+    """
+    grouped = objects.groupBy(*SHAPE).agg(F.count("*").alias("object_count"), F.min("doc_idx").alias("first_seen_document_index"))
+    return grouped.withColumn("first_seen_path", F.col("site_path"))

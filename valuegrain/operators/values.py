@@ -32,7 +32,7 @@ def value_bytes(kind: Column, text: Column) -> Column:
 
 def value_counts(fields: DataFrame) -> DataFrame:
     """(field_profile_id, value_hash, observed_type, text, n, bytes)."""
-    grouped = fields.groupBy("field_profile_id", "value_hash").agg(F.any_value("observed_type").alias("observed_type"), F.any_value("text").alias("text"), F.count("*").alias("n"))
+    grouped = fields.groupBy("field_profile_id", "value_hash", "observed_type", "text").agg(F.count("*").alias("n"))
     return grouped.withColumn("bytes", value_bytes(F.col("observed_type"), F.col("text")))
 
 

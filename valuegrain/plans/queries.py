@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -213,9 +213,14 @@ def stable_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ samples
 
 
+def _ranked() -> tuple[Column, Column]:
+    """Without nulls, so that 63-bit numbers stay whole wherever nullable numbers become floats."""
+    return F.coalesce(F.col("sample_priority").cast("string"), F.lit("")).alias("sample_priority"), F.coalesce("sample_rank", F.lit(0)).alias("sample_rank")
+
+
 def object_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = samples.object_samples(materialize(event_objects(spark, sf_dir)), Sampling())
-    return found.select("object_sample_id", "sample_scope", "sample_key", "sample_kind", "document_index", "sample_json", "sample_priority", "sample_rank")
+    return found.select("object_sample_id", "sample_scope", "sample_key", "sample_kind", "document_index", "sample_json", *_ranked())
 
 
 def object_samples_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +231,7 @@ def object_samples_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 def value_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects = materialize(event_objects(spark, sf_dir))
     found = samples.value_samples(materialize(explode_fields(objects)), objects, Sampling())
-    return found.select("value_sample_id", "field_profile_id", "value_hash", "sample_kind", "document_index", "value_json", "parent_object_json", "sample_priority", "sample_rank")
+    return found.select("value_sample_id", "field_profile_id", "value_hash", "sample_kind", "document_index", "value_json", "parent_object_json", *_ranked())
 
 
 def sample_keys_except(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,7 +387,7 @@ ORACLES: dict[str, str] = {
         a AS (SELECT scope, key, doc, js, shape_id, 'priority_sample' AS kind, pr, rn::INT AS rk FROM q WHERE rn <= lim
               UNION ALL SELECT scope, key, doc, js, shape_id, unnest(['first_seen', 'first_non_empty']), NULL, NULL FROM q WHERE fs = 1)
         SELECT {sql_hex(f"scope || {U} || key || {U} || kind || {U} || doc || {U} || '$' || {U} || coalesce(pr::VARCHAR, '') || {U} || shape_id")} AS object_sample_id,
-               scope AS sample_scope, key AS sample_key, kind AS sample_kind, doc AS document_index, js AS sample_json, pr AS sample_priority, rk AS sample_rank FROM a""",
+               scope AS sample_scope, key AS sample_key, kind AS sample_kind, doc AS document_index, js AS sample_json, coalesce(pr::VARCHAR, '') AS sample_priority, coalesce(rk, 0) AS sample_rank FROM a""",
     "object_samples_first": f"""WITH {ORDER_SQL.strip()}, {_SHAPES.strip()},
         y AS (SELECT obj.doc, obj.seq, obj.path, obj.canon, obj.fset = '[]' AS blank, fh, th FROM obj JOIN sh ON obj.path = sh.path AND obj.tset = sh.tset),
         s AS (SELECT doc, seq, path, blank, unnest(['canonical_path', 'site_path', 'field_set', 'type_set']) AS scope,
@@ -397,7 +402,7 @@ ORACLES: dict[str, str] = {
         a AS (SELECT fp, doc, k, js, 'priority_sample' AS kind, pr, rn::INT AS rk FROM q WHERE rn <= 4 UNION ALL SELECT fp, doc, k, js, unnest(['first_seen', 'first_non_empty']), NULL, NULL FROM q WHERE fs = 1),
         h AS (SELECT *, {sql_hex("'Integer(' || chr(34) || k || chr(34) || ')'")} AS vh FROM a)
         SELECT {sql_hex(f"fp || {U} || kind || {U} || doc || {U} || '$.k' || {U} || vh || {U} || coalesce(pr::VARCHAR, '')")} AS value_sample_id, fp AS field_profile_id, vh AS value_hash, kind AS sample_kind,
-               doc AS document_index, k AS value_json, js AS parent_object_json, pr AS sample_priority, rk AS sample_rank FROM h""",
+               doc AS document_index, k AS value_json, js AS parent_object_json, coalesce(pr::VARCHAR, '') AS sample_priority, coalesce(rk, 0) AS sample_rank FROM h""",
     "sample_keys_except": f"""WITH {ORDER_SQL.strip()}, {_SHAPES.strip()},
         s AS (SELECT fset = '[]' AS blank, unnest(['canonical_path', 'site_path', 'field_set', 'type_set']) AS sample_scope,
                      unnest([canon, canon || {U} || path, canon || {U} || path || {U} || fh, canon || {U} || path || {U} || fh || {U} || th]) AS sample_key FROM sh)

@@ -63,11 +63,11 @@ def merged(spark: SparkSession, state: str, config: ProfileConfig | None = None)
     """Shapes, shape fields, field summaries, field values and priority values over all batches so far."""
     config = config or ProfileConfig(heavy_hitters="exact")
     part = {name: spark.read.parquet(f"{state}/{name}").drop("batch") for name in PARTIALS}
-    first = F.min(F.struct("first_seen_document_index", "first_seen_path")).alias("first")
-    shape_table = part["shapes"].groupBy("shape_id").agg(*(F.any_value(c).alias(c) for c in SHAPE[1:]), F.sum("object_count").alias("object_count"), first)
-    names = ["shape_id", "field_name", "observed_type"]
+    first = F.min("first_seen_document_index").alias("first_seen_document_index")
+    shape_table = part["shapes"].groupBy(*SHAPE, "first_seen_path").agg(F.sum("object_count").alias("object_count"), first)
+    names = ["field_profile_id", "shape_id", "field_name", "observed_type"]
     sums = [F.sum(c).alias(c) for c in part["summaries"].columns if c != "field_profile_id"]
-    values = part["values"].groupBy("field_profile_id", "value_hash").agg(F.any_value("observed_type").alias("observed_type"), F.any_value("text").alias("text"), F.sum("n").alias("n"))
+    values = part["values"].groupBy("field_profile_id", "value_hash", "observed_type", "text").agg(F.sum("n").alias("n"))
     counts = materialize(values.withColumn("bytes", value_bytes(F.col("observed_type"), F.col("text"))))
     decided = materialize(decide(counts, config.value_profile))
     stored = materialize(distributions(counts, counts, decided, config.value_profile, "exact"))
@@ -75,8 +75,8 @@ def merged(spark: SparkSession, state: str, config: ProfileConfig | None = None)
     limit = config.sampling.value_priority_limit_per_field_profile
     return {
         "totals": part["documents"].agg(*(F.sum(c).alias(c) for c in ("documents", "arrays", "scalars"))),
-        "prof_shape": shape_table.select(*SHAPE, "object_count", "first.*"),
-        "prof_shape_field": part["shape_fields"].groupBy("field_profile_id").agg(*(F.any_value(c).alias(c) for c in names), F.sum("observed_count").alias("observed_count"), F.sum("null_count").alias("null_count")),
+        "prof_shape": shape_table.select(*SHAPE, "object_count", "first_seen_document_index", "first_seen_path"),
+        "prof_shape_field": part["shape_fields"].groupBy(*names).agg(F.sum("observed_count").alias("observed_count"), F.sum("null_count").alias("null_count")),
         "prof_field_summary": field_summaries(part["summaries"].groupBy("field_profile_id").agg(*sums), counts, decided, stored, config.value_profile),
         "prof_field_value": stored,
         "priority_values": part["priorities"].withColumn("sample_rank", rank).filter(F.col("sample_rank") <= limit).withColumn("sample_kind", F.lit(PRIORITY)),
