@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.conftest import INPUTS, jsonl
 from valuegrain import ProfileConfig, profile, profile_documents
 from valuegrain.plans.diagnose import diagnose
-from valuegrain.sources.sinks import ORDER, columns, read_parquet, read_sqlite, write_parquet, write_sqlite
+from valuegrain.sources.sinks import ORDER, columns, folder_sizes, read_parquet, read_sqlite, sqlite_sizes, write_parquet, write_sqlite
 
 #: documents, objects, arrays, scalars, canonical paths, sites, shapes, field profiles, stored values
 GOLDEN = {
@@ -146,6 +146,9 @@ def test_sinks(spark, tmp_path, refs_path):
     back = read_parquet(spark, str(tmp_path / "pq"))
     assert snapshot(back) == want
     assert diagnose(back).risks == []
+    sizes = folder_sizes(spark, str(tmp_path / "pq"))
+    assert len(sizes) == 7 and sizes == sorted(sizes, key=lambda x: -x[1]) and sizes[-1][1] > 0
+    assert len(sqlite_sizes(str(tmp_path / "out" / "p.sqlite"), 3)) in (0, 3)
 
 
 def test_diagnose_finds_risks(spark, tmp_path):

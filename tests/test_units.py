@@ -284,7 +284,6 @@ def test_command_line_errors(spark, tmp_path, refs_path, capsys):
 
 
 def test_incremental(spark, tmp_path):
-    from valuegrain.operators.values import value_bytes  # noqa: F401
     from valuegrain.plans.profile import profile
     from valuegrain.streaming.incremental import merged, start
 

@@ -93,3 +93,15 @@ def value_samples(fields: DataFrame, objects: DataFrame, options: Sampling) -> D
         "sample_priority",
         "sample_rank",
     )
+
+
+def heavy_hitter_context(fields: DataFrame, stored: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` places of each heavy hitter, in document order.
+
+    Only on request: a profile never holds these rows, whatever ``heavy_hitter_context_sample_limit`` says.
+    """
+    hitters = stored.filter("value_source = 'heavy_hitter'").select("field_profile_id", "value_hash")
+    rows = fields.withColumn("value_hash", hex64(F.col("value_hash"))).join(hitters, ["field_profile_id", "value_hash"])
+    rank = F.row_number().over(W.partitionBy("field_profile_id", "value_hash").orderBy("doc_idx", "source_path"))
+    ranked = rows.withColumn("sample_rank", rank).filter(F.col("sample_rank") <= limit)
+    return ranked.select("field_profile_id", "value_hash", F.lit("heavy_hitter_context").alias("sample_kind"), F.col("doc_idx").alias("document_index"), "source_path", "sample_rank")

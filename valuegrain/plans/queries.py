@@ -200,6 +200,27 @@ def heavy_hitters_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("field_profile_id", hex64(F.col("value_hash")).alias("value_hash"), "text", "n", "rank")
 
 
+def heavy_hitter_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the most frequent line numbers stand first; the threshold of 3 makes them approximate."""
+    fields = materialize(order_fields(spark, sf_dir).filter("field_name = 'qty'"))
+    counts = materialize(values.value_counts(fields))
+    ranked = counts.withColumn("r", F.row_number().over(W.partitionBy("field_profile_id").orderBy(F.desc("n"), F.col("text").cast("long")))).filter("r <= 3")
+    stored = ranked.select("field_profile_id", hex64(F.col("value_hash")).alias("value_hash"), F.lit("heavy_hitter").alias("value_source"))
+    return samples.heavy_hitter_context(fields, stored, 2).select("field_profile_id", "value_hash", "document_index", "source_path", "sample_rank")
+
+
+def type_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Field types by canonical path, from the strict scan."""
+    scanned = scan(order_docs(spark, sf_dir)).filter("path IS NOT NULL")
+    return scanned.select("canon", F.inline("fields")).groupBy("canon", F.col("name").alias("field_name"), F.col("type").alias("observed_type")).agg(F.count("*").alias("n"))
+
+
+def document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays, scalars and objects of every document."""
+    scanned = scan(order_docs(spark, sf_dir))
+    return scanned.groupBy("doc_idx").agg(F.max("n_arrays").alias("n_arrays"), F.max("n_scalars").alias("n_scalars"), F.count("path").alias("n_objects"))
+
+
 def value_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("props")
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", truncate_utf8(text, 8).alias("value_text"), truncated(text, 8).alias("value_text_truncated"))
@@ -310,7 +331,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         scan_node_counts, path_inventory, resolve_context, shape_counts, shape_field_counts, field_summary, field_summary_nested, exact_or_approximate, exact_distribution,
-        hll_estimate, heavy_hitters_top, heavy_hitters_sequential, value_text, stable_hash, object_samples, object_samples_first, value_samples, sample_keys_except,
+        hll_estimate, heavy_hitters_top, heavy_hitters_sequential, heavy_hitter_context, type_distribution, document_counts, value_text, stable_hash, object_samples, object_samples_first, value_samples, sample_keys_except,
         source_summary, diag_row_counts, diag_sample_kinds, diag_value_sources, diag_distinct_methods, diag_top_paths, diag_priority_bounds, diag_orphans, refs_contexts, refs_seeds,
     )
 }
@@ -377,6 +398,13 @@ ORACLES: dict[str, str] = {
         SELECT r.fp AS field_profile_id, round(CASE WHEN raw <= 2.5 * 1024 AND zeros > 0 THEN 1024 * ln(1024.0 / zeros) ELSE raw END)::BIGINT AS estimate, dd.n_values FROM r JOIN dd ON r.fp = dd.fp""",
     "heavy_hitters_top": f"""WITH {ORDER_SQL.strip()}, {_SHAPES.strip()}, {_FIELDS.strip()},
         q AS (SELECT fp AS field_profile_id, text, n, (row_number() OVER (PARTITION BY fp ORDER BY n DESC, text::BIGINT))::INT AS rank FROM vc WHERE type = 'integer') SELECT * FROM q WHERE rank <= 5""",
+    "heavy_hitter_context": f"""WITH {ORDER_SQL.strip()}, {_SHAPES.strip()}, {_FIELDS.strip()},
+        q AS (SELECT fp, text, row_number() OVER (PARTITION BY fp ORDER BY n DESC, text::BIGINT) AS r FROM vc WHERE fp IN (SELECT fp FROM fp WHERE name = 'qty')),
+        c AS (SELECT fv.fp, fv.text, fv.doc, fv.field_path, (row_number() OVER (PARTITION BY fv.fp, fv.text ORDER BY doc, field_path))::INT AS k FROM fv JOIN q ON fv.fp = q.fp AND fv.text = q.text WHERE q.r <= 3)
+        SELECT fp AS field_profile_id, {sql_hex("'Integer(' || chr(34) || text || chr(34) || ')'")} AS value_hash, doc AS document_index, field_path AS source_path, k AS sample_rank FROM c WHERE k <= 2""",
+    "type_distribution": f"WITH {ORDER_SQL.strip()} SELECT canon, name AS field_name, type AS observed_type, count(*) AS n FROM f GROUP BY ALL",
+    "document_counts": f"""WITH {ORDER_SQL.strip()}, a AS (SELECT doc, count(*) FILTER (type = 'array') AS n_arrays, count(*) FILTER (type IN ('integer', 'string')) AS n_scalars FROM f GROUP BY doc),
+        b AS (SELECT doc, count(*) AS n_objects FROM obj GROUP BY doc) SELECT a.doc AS doc_idx, n_arrays, n_scalars, n_objects FROM a JOIN b ON a.doc = b.doc""",
     "value_text": "SELECT event_id, substr(props, 1, 8) AS value_text, (length(props) > 8)::INT AS value_text_truncated FROM events",
     "stable_hash": f"SELECT event_id, {sql_hex('props')} AS by_expression, {sql_hex('props')} AS by_batch FROM events",
     "object_samples": f"""{_EVENT},
