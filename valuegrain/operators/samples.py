@@ -40,7 +40,7 @@ def _least(rows: DataFrame, keys: list[str], limit: int, path: str, carried: lis
 def object_samples(objects: DataFrame, options: Sampling) -> DataFrame:
     """Samples of each scope's keys: path, site, field set, type set."""
     kept = objects.select("doc_idx", "ord", "path", (F.size("fields") > 0).alias("some"), scope_keys("canonical_path", "site_path", "field_set_hash", "type_set_hash", "doc_idx", "path").alias("keys"))
-    rows = kept.select("doc_idx", "ord", "path", "some", F.inline("keys")).withColumnRenamed("scope", "sample_scope").withColumnRenamed("key", "sample_key")
+    rows = kept.select("doc_idx", "ord", "path", "some", F.inline_outer("keys")).withColumnRenamed("scope", "sample_scope").withColumnRenamed("key", "sample_key")
     keys, carried = ["sample_scope", "sample_key"], []  # an object's facts are joined by its place
     limits = {"canonical_path": options.canonical_priority_limit, "site_path": options.site_priority_limit, "field_set": options.field_set_priority_limit, "type_set": options.type_set_priority_limit}
     own = F.element_at(F.create_map(*(F.lit(x) for kv in limits.items() for x in kv)), F.col("sample_scope"))
