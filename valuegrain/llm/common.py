@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Characters that separate words: space and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Folders of this process, by session folder, removed at exit.
@@ -60,6 +61,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Fewer rows in an Arrow batch than Spark's default, for texts are long; an own setting stays.
+
+    It holds for the session, since results are evaluated after an operator has returned.
+    """
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Arrow batches in smaller parts, so that a worker turns few texts at once into Python objects.
 

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table
+from .common import slices, small_batches, table
 from .html_blocks import Block, read_blocks
 
 PATH_SLOTS, WORD_SLOTS = 4096, 2048
@@ -354,6 +354,7 @@ def extract(pages: DataFrame, net: Labeller) -> DataFrame:
             n = [pa.array(list(map(len, x)), pa.int64()) for x in (texts, blocks)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), *n], ["page_id", "url", "text", "n_chars", "n_blocks"])
 
+    small_batches(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long, n_blocks long")
 
 

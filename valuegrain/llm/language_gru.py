@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_order, slices, table, written
+from .common import hash_order, slices, small_batches, table, written
 from .quality_nbsvm import fold
 
 #: Documents of a language to train on, about, and characters of each.
@@ -207,6 +207,7 @@ def predict(docs: DataFrame, net: Gru) -> DataFrame:
                 lang = [net.langs[k] if t else UNDETERMINED for k, t in zip(best, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang), pa.array(np.clip(score, 0, 1))], ["doc_id", "held_out", "lang_pred", "score"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "text")
     return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_order, slices, table
+from .common import hash_order, slices, small_batches, table
 
 #: Labelled documents to train on, at most.
 MAX_TRAIN = 1500
@@ -178,6 +178,7 @@ def line_quality(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], content_
             names = [x.split()[0] for x in RESULT.split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names)
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(score, RESULT)
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, table, written
+from .common import slices, small_batches, table, written
 from .components import components
 
 SHINGLE = 5
@@ -103,6 +103,7 @@ def sketches(docs: DataFrame, keep_set: bool = False) -> DataFrame:
                 last.append(raw if keep_set else signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(last, pa.binary())], ["doc_id", "n_shingles", "digest", "sketch"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, digest binary, sketch binary")
 
 

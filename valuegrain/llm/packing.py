@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, table, written
+from .common import slices, small_batches, table, written
 from .tokens import encoder, tokenizer_path
 
 LIMIT = 4096
@@ -64,6 +64,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, limit: int = LIMIT, w
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.binary())] if with_ids else cols, [*names, "ids"] if with_ids else names)
 
+    small_batches(docs.sparkSession)
     kind = f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long"
     return docs.select("doc_id", "text").mapInArrow(run, kind + ", ids binary" * with_ids)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_order, slices, table
+from .common import hash_order, slices, small_batches, table
 
 #: Labelled documents to train on, at most.
 MAX_TRAIN = 3000
@@ -187,6 +187,7 @@ def score(docs: DataFrame, model: NbSvm) -> DataFrame:
             s = np.array([model.score(grams(x.as_py())) for x in batch.column(2)], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
     return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
 
