@@ -28,6 +28,8 @@ from .quality_nbsvm import fold
 #: Documents of a language to train on, about, and characters of each.
 MAX_TRAIN_PER_LANG = 300
 TRAIN_CHARS = 1500
+#: Languages whose counts are broadcast at most.
+MAX_BROADCAST_LANGS = 100_000
 HIDDEN = 8
 SEGMENT = 128
 #: Segments that run as one batch.
@@ -182,9 +184,10 @@ def train(docs: DataFrame, per_lang: int = MAX_TRAIN_PER_LANG) -> Gru:
     usable = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 4) != 2))
     counts = written(usable.groupBy("lang").agg(F.count("*").alias("n")))
     share = F.abs(F.xxhash64("doc_id") / F.lit(float(2**63)))
-    picked = usable.join(F.broadcast(counts), "lang").filter(share * F.col("n") < per_lang)  # a row per language
+    n_langs = counts.count()
+    picked = usable.join(F.broadcast(counts) if n_langs <= MAX_BROADCAST_LANGS else counts, "lang").filter(share * F.col("n") < per_lang)
     some = picked.filter(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", F.substring("text", 1, TRAIN_CHARS).alias("text"))
-    rows = some.orderBy(*hash_order("doc_id"), "lang", "text").limit(4 * per_lang * max(1, counts.count())).collect()
+    rows = some.orderBy(*hash_order("doc_id"), "lang", "text").limit(4 * per_lang * max(1, n_langs)).collect()
     texts: dict[str, list[bytes]] = {}
     for r in rows:
         texts.setdefault(r["lang"], []).append(r["text"].encode())
