@@ -13,7 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.paths import materialize
+
 FORMATS = ("auto", "json", "jsonl")
+#: File splits whose line counts are broadcast at most (about 128 TB at Spark's default split size).
+MAX_BROADCAST_SPLITS = 1_000_000
 
 
 def resolve_format(path: str, wanted: str = "auto", jsonl: bool = False) -> str:
@@ -28,7 +32,7 @@ def resolve_format(path: str, wanted: str = "auto", jsonl: bool = False) -> str:
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.text(path, wholetext=True).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"))
     names = files.select("file").distinct().select("file", (F.row_number().over(W.orderBy("file")) - 1).cast("long").alias("doc_idx"))  # a row per file
-    return files.join(F.broadcast(names), "file").select("doc_idx", "raw")
+    return files.join(names, "file").select("doc_idx", "raw")
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -42,9 +46,10 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     )
     splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
     before = F.coalesce(F.sum("n").over(W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    splits = splits.withColumn("before", before).drop("n")
+    splits = materialize(splits.withColumn("before", before).drop("n"))
+    splits = F.broadcast(splits) if splits.count() <= MAX_BROADCAST_SPLITS else splits
     raw = F.regexp_replace("value", "\r$", "")
-    numbered = lines.join(F.broadcast(splits), ["file", "block"]).select((F.col("before") + F.col("id") - F.col("first_id")).alias("doc_idx"), raw.alias("raw"))
+    numbered = lines.join(splits, ["file", "block"]).select((F.col("before") + F.col("id") - F.col("first_id")).alias("doc_idx"), raw.alias("raw"))
     return numbered.filter(F.col("raw").rlike(r"(?U)\S"))
 
 
