@@ -101,6 +101,44 @@ def test_near_in_a_dense_region(spark):
     assert near(make_docs(spark, texts)) == brute_near(list(enumerate(texts)))
 
 
+def planted_crowd(seed=3, size=300, pairs=40):
+    """Texts that share a passage at similarities of 0.6 to 0.74, and pairs of them at 0.75 to 0.8."""
+    rng = random.Random(seed)
+    passage, texts = words(rng, 120), []
+    for _ in range(size):
+        texts.append(f"{passage} {words(rng, rng.randint(24, 34))}")
+    for _ in range(pairs):
+        own = words(rng, 29).split()
+        texts.append(f"{passage} {' '.join(own)}")
+        near = [*own[:11], *words(rng, 18).split()]
+        texts.append(f"{passage} {' '.join(near)}")
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("counted", [near_dedup.COUNTED_NODES, 0])
+def test_near_pairs_planted_in_a_crowd(spark, monkeypatch, counted):
+    monkeypatch.setattr(near_dedup, "COUNTED_NODES", counted)
+    texts = planted_crowd()
+    want = brute_near(list(enumerate(texts)))
+    assert len({x[1] for x in want.values()}) <= len(texts) - 30  # the pairs, and little else, are linked
+    assert near(make_docs(spark, texts)) == want
+
+
+def test_first_shingles_meet():
+    rng = np.random.default_rng(7)
+    common, counts = np.arange(0, 300, 3, dtype=np.uint64), rng.integers(2, 50, 100)
+    met = 0
+    for _ in range(3000):
+        a = np.unique(rng.integers(0, 300, rng.integers(1, 60)).astype(np.uint64))
+        b = np.unique(np.r_[rng.permutation(a)[: rng.integers(0, len(a) + 1)], rng.integers(0, 300, rng.integers(1, 9)).astype(np.uint64)])
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 75 * (len(a) + len(b) - both):
+            met += 1
+            assert len(np.intersect1d(*(near_dedup.first_shingles(s, common, counts) for s in (a, b))))
+    assert met > 100
+
+
 def test_near_edges(spark, no_docs):
     assert near(no_docs) == {}
     got = near_dedup.near_duplicates(make_docs(spark, ["a b", "a b", "A B", None], ids=[9, 9, None, 3])).collect()

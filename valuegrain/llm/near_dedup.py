@@ -12,9 +12,13 @@
    threshold), and so are those whose set sizes rule the threshold out.
 4. The rest is confirmed on full sets: first each node's likeliest partner, then every remaining
    candidate between different components.  Components come from the confirmed links.
+5. Nodes of runs that were cut (over ``REGION`` nodes share ``MIN_DEPTH`` values) and hold more than
+   one component are joined once more on their full sets: in one order of all shingles, common ones
+   last, two sets that reach the threshold share a shingle among their first quarter, and its places
+   bound what they can share.  This join loses no pair, whatever the order.
 
 Chance of missing a link at similarity 0.75: each tree finds it with 0.75 ** 2, all 16 miss it with
-2e-6; in dense regions depth grows and the chance with it, but links there have many others around.
+2e-6, and so in dense regions, where the join covers what the cuts leave out.
 
 Defined results: null or blank texts have an empty set and are linked with nothing; texts under five
 words are one shingle; repeated ids share their component; rows without an id are returned unlinked;
@@ -47,6 +51,9 @@ MIN_DEPTH = 2
 REGION = 24
 #: Standard errors below the threshold at which a signature rules a pair out.
 SLACK = 5.0
+#: Nodes of cut runs whose shingles are counted to tell common ones, and common ones told; both touch time only.
+COUNTED_NODES = 10_000
+MAX_COMMON = 200_000
 #: Rows of a sorted partition.
 SORTED_ROWS = 400_000
 #: Ids to fetch are broadcast up to this number (16 MB of longs), beyond it joined by shuffle.
@@ -143,8 +150,17 @@ def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (node, n, sig) to distinct candidate pairs (a, b), a < b."""
+def dense_rows(keys: np.ndarray) -> np.ndarray:
+    """Indices of rows whose run has over ``REGION`` rows here or may go on beyond this partition."""
+    new = np.r_[True, (keys[1:, : MIN_DEPTH + 1] != keys[:-1, : MIN_DEPTH + 1]).any(1)]
+    run = np.cumsum(new) - 1
+    some = np.bincount(run) > REGION
+    some[[0, -1]] = True
+    return np.flatnonzero(some[run])
+
+
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` (node, n, sig) to distinct candidate pairs (a, b), a < b, and the nodes of large runs (node, tree, prefix)."""
     rows = nodes.count() * TREES
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // SORTED_ROWS))
     twice = F.concat("sig", "sig")
@@ -157,11 +173,14 @@ def candidates(nodes: DataFrame) -> DataFrame:
         if not len(frame):
             return
         ids, n = frame["node"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)
-        i, j = forest_pairs(_key_rows(frame), ids)
+        keys = _key_rows(frame)
+        i, j = forest_pairs(keys, ids)
         ok = (ids[i] != ids[j]) & _fits(n[i], n[j])
         i, j = i[ok], j[ok]
         a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
         yield pd.DataFrame({"a": a, "b": b, "part": -1, "tree": 0, "key": b"", "n": 0, "tail": False}).drop_duplicates(["a", "b"])
+        dense = frame.iloc[dense_rows(keys)]
+        yield pd.DataFrame({"a": dense["node"], "b": dense["node"], "part": -2, "tree": dense["tree"], "key": dense["key"].str.slice(0, 2 * MIN_DEPTH), "n": 0, "tail": False})
         part = TaskContext.get().partitionId()
         for tail, edge in ((False, frame.head(REGION)), (True, frame.tail(REGION))):
             yield pd.DataFrame({"a": edge["node"], "b": edge["node"], "part": part, "tree": edge["tree"], "key": edge["key"], "n": edge["n"], "tail": tail})
@@ -181,7 +200,8 @@ def candidates(nodes: DataFrame) -> DataFrame:
         return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
 
     across = seams.groupBy("seam").applyInPandas(cross, "a long, b long")
-    return found.filter("part < 0").select("a", "b").unionByName(across).distinct()
+    runs = found.filter("part = -2").select(F.col("a").alias("node"), "tree", F.col("key").alias("prefix"))
+    return found.filter("part = -1").select("a", "b").unionByName(across).distinct(), runs
 
 
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -204,7 +224,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets (node, set) reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 500):
             a, b, good = batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
@@ -218,6 +238,88 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def linked(pairs: DataFrame, sets: DataFrame, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """All confirmed links (a, b), beside the given ones, and their components; ``pairs`` are between components so far."""
+    # each node's likeliest partner first; it settles most groups with one check per node
+    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "alike").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "alike"))
+    best = ends.groupBy("x").agg(F.max_by("y", F.struct("alike", -F.col("y"))).alias("y"))
+    first = confirm(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), sets)
+    links = written(first if links is None else first.unionByName(links))
+    groups = written(components(links))
+    side = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"group_{c}"))
+    rest = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter("group_a IS NULL OR group_b IS NULL OR group_a <> group_b").select("a", "b")
+    more = written(confirm(rest, sets))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        groups = written(components(links))
+    return links, groups
+
+
+def dense_nodes(runs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``runs`` (node, tree, prefix) to the distinct nodes (node, group) of those over ``REGION`` nodes and one component."""
+    named = runs.join(groups, "node", "left").select("node", "tree", "prefix", F.coalesce("component", "node").alias("group"))
+    large = named.groupBy("tree", "prefix").agg(F.count("*").alias("size"), F.min("group").alias("least"), F.max("group").alias("most"))
+    large = written(large.filter((F.col("size") > REGION) & (F.col("least") < F.col("most"))).select("tree", "prefix"))
+    return named.join(F.broadcast(large) if large.count() <= MAX_BROADCAST_IDS else large, ["tree", "prefix"], "left_semi").select("node", "group").distinct()
+
+
+def common_shingles(sets: DataFrame, nodes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that repeat among a hash sample of the sets, sorted, and how often they do."""
+    share = F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < -(-1_000_000 * COUNTED_NODES // max(nodes, COUNTED_NODES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(0)]))], ["shingle"])
+
+    counts = sets.filter(share).select("set").mapInArrow(run, "shingle long").groupBy("shingle").count().filter("count > 1")
+    top = counts.orderBy(F.desc("count"), "shingle").limit(MAX_COMMON).toPandas()
+    shingle, count = top["shingle"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
+    order = np.argsort(shingle)
+    return shingle[order], count[order]
+
+
+def first_shingles(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of a sorted set that come first, common ones last: sets that reach the threshold share one of them."""
+    often = np.zeros(len(s), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        often = np.where(common[at] == s, counts[at], 0)
+    return s[np.argsort(often, kind="stable")][: len(s) - -(-PERCENT * len(s) // 100) + 1]
+
+
+def joined_pairs(sets: DataFrame, nodes: int) -> DataFrame:
+    """``sets`` (node, group, set) to all pairs (a, b) of different groups that may reach the threshold."""
+    common, counts = common_shingles(sets, nodes)
+    told = sets.sparkSession.sparkContext.broadcast((common, counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, counts = told.value
+        for batch in slices(batches, 200):
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]
+            first = [first_shingles(s, common, counts) for s in sets]
+            k, n = np.array([len(f) for f in first]), np.array([len(s) for s in sets])
+            # what two sets can share whose first common shingle is this one
+            most = np.repeat(n, k) - np.concatenate([np.arange(len(f)) for f in first])
+            each = [np.concatenate(first).view(np.int64), *(np.repeat(x, k) for x in (batch.column(0).to_numpy(), batch.column(1).to_numpy(), n)), most]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in each], ["shingle", "node", "group", "n", "most"])
+
+    rows = written(sets.select("node", "group", "set").mapInArrow(run, "shingle long, node long, group long, n long, most long"))
+    enough = lambda c: f"{100 + PERCENT} * most_{c} >= {PERCENT} * (n_a + n_b)"
+    side = lambda c: rows.select("shingle", *(F.col(x).alias(f"{x}_{c}") for x in ("node", "group", "n", "most")))
+    # the smaller set's place is within what an equal set allows
+    small = side("a").filter(f"{100 + PERCENT} * most_a >= {2 * PERCENT} * n_a").hint("merge")
+    pairs = small.join(side("b"), "shingle").filter(f"(n_a < n_b OR n_a = n_b AND node_a < node_b) AND group_a <> group_b AND {enough('a')} AND {enough('b')}")
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def full_sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The packed sets (node, set) of the nodes ``ids`` (node)."""
+    few = ids.count() <= MAX_BROADCAST_IDS
+    wanted = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["node"], "left_semi")
+    sets = sketches(wanted, keep_set=True).select(F.col("doc_id").alias("node"), "digest", F.col("sketch").alias("set"))
+    return written(sets.join(nodes.select("node", "digest"), ["node", "digest"], "left_semi").select("node", "set").dropDuplicates(["node"]))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     docs = docs.select("doc_id", "text")
@@ -227,23 +329,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("x")).select("digest", F.col("x.doc_id").alias("node"), F.col("x.n_shingles").alias("n"), F.col("x.sketch").alias("sig"))
     )
     one = nodes.select("node", "n", "sig")
-    pairs = written(likely(candidates(one), one))
+    found, runs = candidates(one)
+    pairs = written(likely(found, one))
     ids = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-    few = ids.count() <= MAX_BROADCAST_IDS
-    wanted = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["node"], "left_semi")
-    sets = sketches(wanted, keep_set=True).select(F.col("doc_id").alias("node"), "digest", F.col("sketch").alias("set"))
-    sets = written(sets.join(nodes.select("node", "digest"), ["node", "digest"], "left_semi").select("node", "set").dropDuplicates(["node"]))
-    # each node's likeliest partner first; it settles most groups with one check per node
-    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "alike").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "alike"))
-    best = ends.groupBy("x").agg(F.max_by("y", F.struct("alike", -F.col("y"))).alias("y"))
-    first = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = written(confirm(first, sets))
-    groups = written(components(links))
-    side = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"group_{c}"))
-    rest = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter("group_a IS NULL OR group_b IS NULL OR group_a <> group_b").select("a", "b")
-    more = written(confirm(rest, sets))
-    if not more.isEmpty():
-        groups = written(components(links.unionByName(more)))
+    links, groups = linked(pairs, full_sets(docs, nodes, ids))
+    dense = written(dense_nodes(runs, groups))
+    size = dense.count()
+    if size:
+        sets = full_sets(docs, nodes, dense.select("node"))
+        missed = written(likely(joined_pairs(sets.join(dense, "node"), size), one))
+        if not missed.isEmpty():
+            links, groups = linked(missed, sets, links)
     named = nodes.select("digest", "node").join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("group"))
     out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     group = F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id"))
