@@ -60,6 +60,22 @@ def test_mined_rules(spark):
     assert got[400]["mined_rule"] == ["word=cheap"] and got[400]["mined_confidence"] == 1.0
 
 
+def test_mined_rules_of_a_sample_of_rows(spark):
+    """Of more rows than are mined, rows of one token set stay in proportion, good and bad."""
+    hosts = ["cheap-pills.io", "news.io", "mixed.io"]
+    rows = [(3 * i + k, f"http://{h}/en/{i}", k != 0 and not (k == 2 and i % 10 < 7)) for i in range(2000) for k, h in enumerate(hosts)]
+    host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
+    frame = spark.createDataFrame(rows, "page_id long, url string, good boolean")
+    labelled = frame.select(F.struct("page_id", "url").alias("row"), url_filter.url_tokens(F.col("url"), host, path).alias("tokens"), (~F.col("good")).alias("bad"))
+    assert labelled.select("tokens").distinct().count() == 3
+    for most in (600, 1500, 3000):
+        found = {tuple(r["items"]): r for r in url_filter.mine_rules(labelled, max_labelled=most).collect()}
+        pills, mixed = found["host=cheap-pills",], found["host=mixed",]
+        assert pills["rule_confidence"] == 1.0 and abs(pills["rule_support"] / (most / 3) - 1) < 0.25
+        assert abs(mixed["rule_confidence"] - 0.7) < 0.1
+        assert ("host=news",) not in found
+
+
 def test_inverted_index_against_brute_force(spark):
     rng = random.Random(8)
     sets = [rng.sample("abcdefgh", rng.randint(0, 6)) for _ in range(60)]

@@ -33,7 +33,7 @@ RULES = (
     ("block", "org", "/es/"),
 )
 BAD = "label=bad"
-#: Labelled URLs to mine; of more, a hash sample of about as many is taken.
+#: Labelled URLs to mine; of more, a hash sample of about as many rows is taken.
 MAX_LABELLED = 500_000
 #: Rules are joined by broadcast up to this number, else by shuffle.
 MAX_BROADCAST_RULES = 100_000
@@ -78,13 +78,14 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
 def mine_rules(
     labelled: DataFrame, least_share: float = 0.001, least_rows: int = 20, confidence: float = 0.6, least_bound: float = 0.5, max_labelled: int = MAX_LABELLED
 ) -> DataFrame:
-    """``labelled`` (tokens, bad) to rules (items, rule_confidence, rule_support)."""
+    """``labelled`` (tokens, bad; row: what tells rows apart in a sample) to rules (items, rule_confidence, rule_support)."""
     spark = labelled.sparkSession
     kind = "items array<string>, rule_confidence double, rule_support bigint"
     labelled = written(labelled.filter(F.size("tokens") > 0))
     n = labelled.count()
     if n > max_labelled:
-        labelled = labelled.filter(F.pmod(F.xxhash64("tokens", "bad"), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n))
+        # rows, not their contents: rows of equal tokens stay or go one by one
+        labelled = labelled.filter(F.pmod(F.xxhash64("row"), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n))
         n = labelled.count()
     if not n:
         return spark.createDataFrame([], kind)
@@ -125,7 +126,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, s
     rows = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path)
     bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("bad")).filter("bad IS NOT NULL")
     tokens = url_tokens(F.col("url"), F.col("host"), F.col("path"))
-    labelled = rows.join(bad, "page_id").select(tokens.alias("tokens"), "bad")
+    labelled = rows.join(bad, "page_id").select(F.struct("page_id", "url").alias("row"), tokens.alias("tokens"), "bad")
     urls = rows.select("url", "host", "path").distinct().select(F.col("url").alias("row"), tokens.alias("tokens"))
     hits = match_rules(urls, mine_rules(labelled)).withColumnRenamed("row", "u")
     rule, verdict = listed(F.col("host"), F.col("path"), rules)
