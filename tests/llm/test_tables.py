@@ -325,6 +325,13 @@ def test_pipeline_stages(spark, docs, prose, tmp_path):
     sequences_are_whole(frames["packing"])
 
 
+def test_pipeline_keeps_texts_where_no_language_can_be_learned(spark, docs, prose):
+    nameless = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.tell_language(spark, nameless, "")
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, t in enumerate(prose) if any(c.isalpha() for c in t or "")]
+
+
 def test_pipeline_runs_on_files_and_on_nothing(spark, docs, no_docs, tmp_path):
     for name, d in (("some", docs.limit(12)), ("none", no_docs)):
         d.write.parquet(str(tmp_path / name / "documents.parquet"))
