@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.conftest import make_docs, words
 from valuegrain.llm import backoff_lm, mixing, packing, tokens, url_filter
+from valuegrain.llm.common import written
 
 # ------------------------------------------------------------------ URLs
 
@@ -332,6 +333,22 @@ def test_pipeline_keeps_texts_where_no_language_can_be_learned(spark, docs, pros
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, t in enumerate(prose) if any(c.isalpha() for c in t or "")]
 
 
+def test_pipeline_keeps_texts_of_repeated_and_missing_ids(spark):
+    rng = random.Random(4)
+    a, b, c, d, e = (words(rng, 40) for _ in range(5))
+    docs = make_docs(spark, [a, b, a + " ", c, c, d, d, e, "1 2"], ids=[5, 5, 6, None, None, 7, None, None, None], sources=["s"] * 9)
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") >= 0, F.col("doc_id")))
+    out, norm = docs, lambda rows: sorted((r["doc_id"] or 0, r["text"].strip()) for r in rows)
+    want = sorted([(0, c), (0, e), (5, b), (6, a), (7, d)])
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = written(stage(spark, out, ""))
+        assert out.columns == docs.columns
+        if name != "language_id":
+            assert norm(out.collect()) == want, name
+    mixed = norm(corpus_pipeline.mix_sources(spark, out, "").collect())
+    assert set(mixed) == set(want) and 6 <= len(mixed) <= 9  # 1.5 times the words, so each once at least
+
+
 def test_pipeline_runs_on_files_and_on_nothing(spark, docs, no_docs, tmp_path):
     for name, d in (("some", docs.limit(12)), ("none", no_docs)):
         d.write.parquet(str(tmp_path / name / "documents.parquet"))
