@@ -174,6 +174,16 @@ def test_language(spark, no_docs):
     assert {r["lang_pred"] for r in language_gru.predict(docs, alone).collect()} == {"aa", "und"}
 
 
+def test_language_is_learned_beyond_a_header(spark):
+    rng = random.Random(2)
+    header = words(rng, 400, "uvwxyz")
+    assert len(header) > language_gru.TRAIN_CHARS
+    own = [words(rng, 2000, "abcdefgh" if i % 2 else "mnopqrst") for i in range(60)]
+    net = language_gru.train(make_docs(spark, [f"{header} {t}" for t in own], ["aa" if i % 2 else "mm" for i in range(60)]))
+    got = language_gru.predict(make_docs(spark, own), net).collect()
+    assert all(r["lang_pred"] == ("aa" if r["doc_id"] % 2 else "mm") for r in got)
+
+
 def test_long_texts_count_whole():
     """A document's probabilities are the means over all its segments."""
     net = language_gru.fit({"a": [b"aaab" * 20], "b": [b"bbba" * 20]}, steps=30)

@@ -186,7 +186,10 @@ def train(docs: DataFrame, per_lang: int = MAX_TRAIN_PER_LANG) -> Gru:
     share = F.abs(F.xxhash64("doc_id") / F.lit(float(2**63)))
     n_langs = counts.count()
     picked = usable.join(F.broadcast(counts) if n_langs <= MAX_BROADCAST_LANGS else counts, "lang").filter(share * F.col("n") < per_lang)
-    some = picked.filter(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", F.substring("text", 1, TRAIN_CHARS).alias("text"))
+    # a passage from anywhere in the text, not its start: headers need not be in the text's language
+    at = F.pmod(F.xxhash64("doc_id", F.lit("passage")), F.greatest(F.length("text") - TRAIN_CHARS + 1, F.lit(1)))
+    passage = F.col("text").substr((at + 1).cast("int"), F.lit(TRAIN_CHARS))
+    some = picked.filter(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", passage.alias("text"))
     rows = some.orderBy(*hash_order("doc_id"), "lang", "text").limit(4 * per_lang * max(1, n_langs)).collect()
     texts: dict[str, list[bytes]] = {}
     for r in rows:
