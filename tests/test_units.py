@@ -194,8 +194,10 @@ def test_exact_limits(spark):
     from valuegrain.config import ValueProfile
 
     rows = [("few", i % 2, "string", "ab") for i in range(9)] + [("many", i, "integer", str(i)) for i in range(20)] + [("wide", i, "string", "x" * 60) for i in range(2)]
-    counts = value_counts(spark.createDataFrame(rows, "field_profile_id string, value_hash long, observed_type string, text string"))
-    got = {r["field_profile_id"]: (r["n_values"], r["is_exact"]) for r in decide(counts, ValueProfile(exact_distinct_threshold=10, exact_value_bytes_per_field_profile=100)).collect()}
+    fields = spark.createDataFrame([("s", name, kind, f"{i}{text}") for name, i, kind, text in rows], "shape_id string, field_name string, observed_type string, text string")
+    names = {f"{fnv(hashing.UNIT.join(('s', name, kind))):016x}": name for name, _, kind, _ in rows}
+    limits = ValueProfile(exact_distinct_threshold=10, exact_value_bytes_per_field_profile=100)
+    got = {names[r["field_profile_id"]]: (r["n_values"], r["is_exact"]) for r in decide(value_counts(fields), limits).collect()}
     assert got == {"few": (2, True), "many": (20, False), "wide": (2, False)}
 
 
@@ -294,11 +296,15 @@ def test_incremental(spark, tmp_path):
         (source / f"{part}.jsonl").write_text("".join(json.dumps(d) + "\n" for d in docs[20 * part : 20 * part + 20]))
         start(spark, str(source), state).awaitTermination()
     got, whole = merged(spark, state), profile(spark, str(source), ProfileConfig(input_format="jsonl", heavy_hitters="exact"))
-    for name, cols in (("prof_shape", ["shape_id", "object_count"]), ("prof_shape_field", None), ("prof_field_summary", None), ("prof_field_value", None)):
-        a, b = (sorted(map(str, (df.select(*cols) if cols else df).collect())) for df in (got[name], whole[name]))
+    for name, cols in (("prof_source_summary", None), ("prof_shape", ["shape_id", "object_count"]), ("prof_shape_field", None), ("prof_field_summary", None), ("prof_field_value", None)):
+        a, b = (sorted(map(str, (df.select(*cols) if cols else df.select(*got[name].columns)).collect())) for df in (got[name], whole[name]))
         assert a == b
-    assert got["totals"].first()["documents"] == 60
-    assert Counter(r["field_profile_id"] for r in got["priority_values"].collect()) == Counter({r["field_profile_id"]: 4 for r in whole["prof_shape_field"].collect()})
+    for name, keys in (("prof_object_sample", ["sample_scope", "sample_key", "sample_kind"]), ("prof_field_value_sample", ["field_profile_id", "sample_kind"])):
+        a, b = (Counter(tuple(r) for r in df.select(*keys).collect()) for df in (got[name], whole[name]))
+        assert a == b
+    one = profile(spark, str(source / "0.jsonl"), ProfileConfig(input_format="jsonl", heavy_hitters="exact"))
+    low = [r["document_index"] % 2**38 for r in merged(spark, state)["prof_object_sample"].filter("sample_kind = 'first_seen'").collect()]
+    assert low and max(low) < 20 and one["prof_shape"].count()
 
 
 # ------------------------------------------------------------------ entry points

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,23 +24,33 @@ UNIT = "\x1f"
 MASK_63 = 0x7FFFFFFFFFFFFFFF
 
 
-def fnv64(texts: Iterable[str]) -> np.ndarray:
-    """FNV-1a of each text: one vector step per byte position, over the rows that are long enough."""
-    raw = [t.encode() for t in texts]
-    size = np.fromiter(map(len, raw), np.int64, len(raw))
+def _steps(data: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """One vector step per byte position, over the rows that are long enough; ``h``: where each row, or each of its columns, stands."""
     order = np.argsort(-size, kind="stable")
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    start = (np.cumsum(size) - size)[order]
-    ordered = size[order]
-    h = np.full(len(raw), OFFSET, np.uint64)
-    for i in range(int(ordered[0]) if len(raw) else 0):
-        live = int(np.searchsorted(-ordered, -i, side="left"))  # rows of more than i bytes
-        h[:live] = (h[:live] ^ data[start[:live] + i]) * np.uint64(PRIME)
+    start, size, h = start[order], size[order], h[order]
+    for i in range(int(size[0]) if len(size) else 0):
+        live = int(np.searchsorted(-size, -i, side="left"))  # rows of more than i bytes
+        byte = data[start[:live] + i]
+        h[:live] = (h[:live] ^ (byte[:, None] if h.ndim > 1 else byte)) * np.uint64(PRIME)
     out = np.empty_like(h)
     out[order] = h
     return out
 
 
+def fnv64(texts: Iterable[str]) -> np.ndarray:
+    """FNV-1a of each text."""
+    raw = [t.encode() for t in texts]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    return _steps(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size, np.full(len(raw), OFFSET, np.uint64))
+
+
+def fnv64_onto(texts: pa.Array, start: np.ndarray) -> np.ndarray:
+    """Hashes whose first parts are hashed (``start``: a row for each text, with columns for several) and go on with ``texts``."""
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return _steps(np.frombuffer(data or b"", np.uint8), ends[:-1], np.diff(ends), start)
+
+
 def fnv64_distinct(texts: list[str]) -> np.ndarray:
     """The same, hashing each distinct text once."""
     index: dict[str, int] = {}

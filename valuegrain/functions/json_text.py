@@ -15,8 +15,9 @@ from json.encoder import encode_basestring
 MAX_DEPTH = 127
 INT_LEAST, INT_MOST = -(2**63), 2**64 - 1
 TYPES = ("null", "boolean", "integer", "number", "string", "array", "object")
-#: Number texts that Python's own reader or writer would treat otherwise than asked here.
-_ODD = re.compile(r"-0|\d{16}|0\.0000|\d[eE]")
+#: Number texts that Python's own reader or writer would treat otherwise than asked here: -0, 16 digits,
+#: 0.0000, exponents.  It may find more than these; one set of first characters lets the search skip ahead.
+_ODD = re.compile(r"[-0-9](?:[eE]|(?<=-)0|(?<=0)\.0000|[0-9]{15})")
 
 
 class JsonError(ValueError):

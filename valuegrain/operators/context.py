@@ -11,6 +11,15 @@ UNKNOWN = "unknown"
 MAX_BROADCAST = 200_000
 
 
+def small_contexts(contexts: DataFrame | None) -> dict[str, tuple[str, str]] | None:
+    """Canonical and schema path by site, where there are at most ``MAX_BROADCAST``; None beyond that."""
+    if contexts is None:
+        return {}
+    if contexts.count() > MAX_BROADCAST:
+        return None
+    return {r["site_path"]: (r["canonical_path"], r["schema_path"]) for r in contexts.select("site_path", "canonical_path", "schema_path").collect()}
+
+
 def resolve(objects: DataFrame, contexts: DataFrame | None) -> DataFrame:
     """Adds canonical_path, site_path, schema_path, resolved."""
     if contexts is None:

@@ -1,4 +1,4 @@
-"""Stable ids as Arrow-batched functions: one Python pass per frame, equal inputs hashed once a batch."""
+"""Stable ids as Arrow-batched functions, equal inputs hashed once a batch; they are applied after rows are grouped."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import MASK_63, UNIT, fnv64, fnv64_distinct, hex64, mix64
+from ..functions.hashing import UNIT, fnv64_distinct, hex64, mix64
 from ..functions.json_text import key_text
 
 # Names of sample scopes and kinds: fixed values, part of ids.
@@ -45,28 +45,24 @@ def shape_ids(canon: pd.Series, site: pd.Series, schema: pd.Series, field_set: p
     return pd.DataFrame({"field_set_hash": fields, "type_set_hash": types, "shape_id": _hex(fnv64_distinct(whole))})
 
 
-@F.pandas_udf(_struct(field_profile_id=T.StringType(), value_hash=T.LongType(), priority=T.LongType()))
-def field_ids(shape: pd.Series, name: pd.Series, kind: pd.Series, text: pd.Series, doc: pd.Series, path: pd.Series) -> pd.DataFrame:
-    """Of a field's profile, of its value, and of its place among priority samples."""
-    profile = _hex(fnv64_distinct([UNIT.join(x) for x in zip(shape, name, kind, strict=True)]))
-    kinds, texts = kind.tolist(), text.tolist()
+def value_hashes(kinds: list[str], texts: list[str]) -> np.ndarray:
+    """What tells values apart, from their types and texts."""
     inner = [i for i, k in enumerate(kinds) if k in ("object", "array")]
     hashes = dict(zip(inner, _hex(fnv64_distinct([texts[i] for i in inner])), strict=True))
-    keys = [key_text(k, t, hashes.get(i, "")) for i, (k, t) in enumerate(zip(kinds, texts, strict=True))]
-    places = fnv64([f"{p}{UNIT}{d}{UNIT}{s}" for p, d, s in zip(profile, doc.tolist(), path, strict=True)])
-    return pd.DataFrame({"field_profile_id": profile, "value_hash": _long(fnv64_distinct(keys)), "priority": _long(places & np.uint64(MASK_63))})
-
-
-@F.pandas_udf(T.ArrayType(_struct(scope=T.StringType(), key=T.StringType(), priority=T.LongType())))
-def scope_keys(canon: pd.Series, site: pd.Series, fields: pd.Series, types: pd.Series, doc: pd.Series, path: pd.Series) -> pd.Series:
-    """An object's four sample keys with its priority in each."""
-    rows, texts = [], []
-    for c, s, f, t, d, p in zip(canon, site, fields, types, doc.tolist(), path, strict=True):
-        keys = (c, f"{c}{UNIT}{s}", f"{c}{UNIT}{s}{UNIT}{f}", f"{c}{UNIT}{s}{UNIT}{f}{UNIT}{t}")
-        rows.append(keys)
-        texts += [f"{scope}{UNIT}{k}{UNIT}{d}{UNIT}{p}" for scope, k in zip(SCOPES, keys, strict=True)]
-    h = (fnv64(texts) & np.uint64(MASK_63)).tolist() if texts else []
-    return pd.Series([[{"scope": s, "key": k, "priority": h[4 * i + j]} for j, (s, k) in enumerate(zip(SCOPES, keys, strict=True))] for i, keys in enumerate(rows)], dtype=object)
+    return fnv64_distinct([key_text(k, t, hashes.get(i, "")) for i, (k, t) in enumerate(zip(kinds, texts, strict=True))])
+
+
+@F.pandas_udf(T.StringType())
+def profile_ids(shape: pd.Series, name: pd.Series, kind: pd.Series) -> pd.Series:
+    """Of the profile of a shape's field."""
+    return pd.Series(_hex(fnv64_distinct([UNIT.join(x) for x in zip(shape, name, kind, strict=True)])), dtype=object)
+
+
+@F.pandas_udf(_struct(field_profile_id=T.StringType(), value_hash=T.LongType()))
+def field_ids(shape: pd.Series, name: pd.Series, kind: pd.Series, text: pd.Series) -> pd.DataFrame:
+    """Of a field's profile and of its value."""
+    profile = _hex(fnv64_distinct([UNIT.join(x) for x in zip(shape, name, kind, strict=True)]))
+    return pd.DataFrame({"field_profile_id": profile, "value_hash": _long(value_hashes(kind.tolist(), text.tolist()))})
 
 
 def hll_place(precision: int):  # noqa: ANN201

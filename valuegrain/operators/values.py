@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from ..config import ValueProfile
 from ..functions.hashing import hex64
 from ..functions.json_columns import truncate_utf8, truncated
-from .ids import fnv_hex, hll_place
+from .fields import with_field_ids
+from .ids import fnv_hex, hll_place, profile_ids
 
 #: Registers to alpha: fixed values of HyperLogLog.
 ALPHA = {16: 0.673, 32: 0.697, 64: 0.709}
@@ -31,9 +32,12 @@ def value_bytes(kind: Column, text: Column) -> Column:
 
 
 def value_counts(fields: DataFrame) -> DataFrame:
-    """(field_profile_id, value_hash, observed_type, text, n, bytes)."""
-    grouped = fields.groupBy("field_profile_id", "value_hash", "observed_type", "text").agg(F.count("*").alias("n"))
-    return grouped.withColumn("bytes", value_bytes(F.col("observed_type"), F.col("text")))
+    """(field_profile_id, value_hash, observed_type, text, n, bytes).
+
+    Rows are grouped as they are and only the distinct ones, after the shuffle, get their ids.
+    """
+    grouped = fields.groupBy("shape_id", "field_name", "observed_type", "text").agg(F.count("*").alias("n"))
+    return with_field_ids(grouped).select("field_profile_id", "value_hash", "observed_type", "text", "n", value_bytes(F.col("observed_type"), F.col("text")).alias("bytes"))
 
 
 def decide(counts: DataFrame, options: ValueProfile) -> DataFrame:
@@ -96,9 +100,14 @@ class SpaceSaving:
 
 
 def heavy_hitters_exact(counts: DataFrame, limit: int) -> DataFrame:
-    """The ``limit`` most frequent values of each profile with their true counts."""
-    rank = F.row_number().over(W.partitionBy("field_profile_id").orderBy(F.desc("n"), "value_hash"))
-    return counts.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    """The ``limit`` most frequent values of each profile with their true counts; ties by key."""
+    rank = F.row_number().over(W.partitionBy("field_profile_id").orderBy(F.desc("n"), "key"))
+    return counts.withColumn("key", summary_key()).withColumn("rank", rank).filter(F.col("rank") <= limit).drop("key")
+
+
+def summary_key() -> Column:
+    """What counters are kept by: the text of a value, the hash of a container's."""
+    return F.when(F.col("observed_type").isin("object", "array"), fnv_hex(F.col("text"))).otherwise(F.col("text"))
 
 
 def heavy_hitters_sequential(fields: DataFrame, limit: int) -> DataFrame:
@@ -108,8 +117,7 @@ def heavy_hitters_sequential(fields: DataFrame, limit: int) -> DataFrame:
     batch, never a group.  The summary depends on order, so one profile's rows do pass one task;
     ``heavy_hitters_exact`` is the form for large inputs.
     """
-    text_hash = F.when(F.col("observed_type").isin("object", "array"), fnv_hex(F.col("text"))).otherwise(F.col("text"))
-    keyed = fields.select("field_profile_id", "doc_idx", "ord", "value_hash", "observed_type", "text", text_hash.alias("key"))
+    keyed = with_field_ids(fields).select("field_profile_id", "doc_idx", "ord", "value_hash", "observed_type", "text", summary_key().alias("key"))
     ordered = keyed.repartition("field_profile_id").sortWithinPartitions("field_profile_id", "doc_idx", "ord")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +153,8 @@ def distributions(fields: DataFrame, counts: DataFrame, decided: DataFrame, opti
     if mode == "exact":
         heavy = heavy_hitters_exact(known.filter("NOT is_exact"), options.heavy_hitter_limit)
     else:
-        heavy = heavy_hitters_sequential(fields.join(decided.filter("NOT is_exact").select("field_profile_id"), "field_profile_id", "left_semi"), options.heavy_hitter_limit)
+        loose = fields.withColumn("field_profile_id", profile_ids("shape_id", "field_name", "observed_type")).join(decided.filter("NOT is_exact").select("field_profile_id"), "field_profile_id", "left_semi")
+        heavy = heavy_hitters_sequential(loose.drop("field_profile_id"), options.heavy_hitter_limit)
     shown = lambda df, full: df.select(
         "field_profile_id",
         hex64(F.col("value_hash")).alias("value_hash"),

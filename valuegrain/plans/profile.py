@@ -1,7 +1,8 @@
 """The whole profile: documents to seven tables.
 
-One scan gives the objects, which are written once; fields are exploded from them and written once;
-everything else is aggregations, joins and windows over these two tables.
+One scan gives the objects with their ids, which are written once.  Shapes and value counts are grouped
+from them and written; all that is told by these small tables (fields, summaries, distributions) is
+derived from them, and samples are cut within the tasks that read the objects.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from pyspark.sql import functions as F
 from ..config import ProfileConfig
 from ..functions.paths import materialize
 from ..operators import samples, values
-from ..operators.context import resolve, unresolved_warning
+from ..operators.context import resolve, small_contexts, unresolved_warning
 from ..operators.fields import explode_fields, shape_fields, summary_counts
 from ..operators.ids import with_shape_ids
 from ..operators.shapes import shapes
-from ..operators.walk import scan
+from ..operators.walk import scan, scan_strict
 from ..perf import PerfLog
 from ..sources.documents import read_documents
 from ..sources.refs import Refs, load_refs
@@ -43,14 +44,30 @@ class ProfileResult:
             df.createOrReplaceTempView(prefix + name)
 
 
-def object_frame(scanned: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
-    """Objects of a scan with their context and shape ids."""
-    return with_shape_ids(resolve(scanned.filter("path IS NOT NULL").drop("n_arrays", "n_scalars"), contexts))
+def scanned(docs: DataFrame, scanner: str = "strict", contexts: DataFrame | None = None) -> DataFrame:
+    """Objects with their context and ids, and a row of counts per document.
 
+    The strict scanner adds contexts and ids in its own pass, where the contexts are few enough to send along.
+    """
+    if scanner == "strict":
+        known = small_contexts(contexts)
+        if known is not None:
+            return scan_strict(docs, known)
+    return with_shape_ids(resolve(scan(docs, scanner), contexts))
 
-def source_summary(documents: DataFrame, objects: DataFrame, shape_table: DataFrame, field_table: DataFrame, value_table: DataFrame, source_format: str) -> DataFrame:
+
+def object_frame(docs: DataFrame, scanner: str = "strict", contexts: DataFrame | None = None) -> DataFrame:
+    """The objects of documents with their context and shape ids."""
+    return scanned(docs, scanner, contexts).filter("path IS NOT NULL").drop("n_arrays", "n_scalars")
+
+
+def source_summary(documents: DataFrame, shape_table: DataFrame, field_table: DataFrame, value_table: DataFrame, source_format: str) -> DataFrame:
     """One row of totals.  ``documents``: a row per document with its arrays and scalars."""
-    counts = documents.agg(F.count("*").alias("d"), F.sum("n_arrays").alias("a"), F.sum("n_scalars").alias("s"))
+    return totals(documents.agg(F.count("*").alias("d"), F.sum("n_arrays").alias("a"), F.sum("n_scalars").alias("s")), shape_table, field_table, value_table, source_format)
+
+
+def totals(counts: DataFrame, shape_table: DataFrame, field_table: DataFrame, value_table: DataFrame, source_format: str) -> DataFrame:
+    """The row of totals from counts that are summed already: documents, arrays, scalars."""
     of_shapes = shape_table.agg(
         F.sum("object_count").alias("o"), F.count_distinct("canonical_path").alias("c"), F.count_distinct(F.coalesce("site_path", F.lit(""))).alias("p"), F.count("*").alias("n")
     )
@@ -65,25 +82,25 @@ def profile_documents(docs: DataFrame, config: ProfileConfig | None = None, refs
     config, perf = config or ProfileConfig(), perf or PerfLog()
     config.validate()
     with perf.phase("scan.walk"):  # objects with their ids, and the documents' counts, in one table
-        everything = materialize(with_shape_ids(resolve(scan(docs, config.scanner), refs.contexts if refs else None)))
+        everything = materialize(scanned(docs, config.scanner, refs.contexts if refs else None))
         objects = everything.filter("path IS NOT NULL")
+    options, fields = config.value_profile, explode_fields(objects)
     with perf.phase("scan.fields"):
-        fields = materialize(explode_fields(objects))
-    options = config.value_profile
-    with perf.phase("scan.flush_values"):
+        shape_table = materialize(shapes(objects))
         counts = materialize(values.value_counts(fields))
+    with perf.phase("scan.flush_values"):
         decided = materialize(values.decide(counts, options))
         stored = materialize(values.distributions(fields, counts, decided, options, config.heavy_hitters))
-    shape_table, field_table = shapes(objects), shape_fields(fields)
-    summary = source_summary(everything.filter("path IS NULL"), objects, shape_table, field_table, stored, source_format)
+    field_table = shape_fields(shape_table)
+    summary = source_summary(everything.filter("path IS NULL"), shape_table, field_table, stored, source_format)
     tables = {
         "prof_source_summary": summary,
         "prof_object_sample": samples.object_samples(objects, config.sampling),
         "prof_shape": shape_table,
         "prof_shape_field": field_table,
-        "prof_field_summary": values.field_summaries(summary_counts(fields), counts, decided, stored, options),
+        "prof_field_summary": values.field_summaries(summary_counts(counts), counts, decided, stored, options),
         "prof_field_value": stored,
-        "prof_field_value_sample": samples.value_samples(fields, objects, config.sampling),
+        "prof_field_value_sample": samples.value_samples(objects, config.sampling),
     }
     warnings = list(refs.warnings) if refs else []
     if refs:

@@ -19,7 +19,7 @@ from ..functions.json_columns import truncate_utf8, truncated
 from ..functions.paths import materialize
 from ..operators import samples, values
 from ..operators.context import resolve
-from ..operators.fields import explode_fields, shape_fields, summary_counts
+from ..operators.fields import explode_fields, shape_fields, summary_counts, with_field_ids
 from ..operators.ids import fnv_hex
 from ..operators.shapes import shapes
 from ..operators.walk import nodes, scan
@@ -107,7 +107,7 @@ U = "chr(31)"
 
 
 def order_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return object_frame(scan(order_docs(spark, sf_dir)))
+    return object_frame(order_docs(spark, sf_dir))
 
 
 def order_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +115,7 @@ def order_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return object_frame(scan(event_docs(spark, sf_dir)))
+    return object_frame(event_docs(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ scans and paths
@@ -144,31 +144,30 @@ def shape_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shape_field_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    objects = materialize(order_objects(spark, sf_dir))
-    named = shape_fields(explode_fields(objects)).join(shapes(objects).select("shape_id", "site_path"), "shape_id")
+    found = materialize(shapes(order_objects(spark, sf_dir)))
+    named = shape_fields(found).join(found.select("shape_id", "site_path"), "shape_id")
     return named.select("field_profile_id", "site_path", "field_name", "observed_type", "observed_count", "null_count")
 
 
 def field_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and distinct values of every field profile of ``events.props``."""
-    fields = materialize(explode_fields(event_objects(spark, sf_dir)))
-    counts = values.value_counts(fields)
-    sums = summary_counts(fields).join(counts.groupBy("field_profile_id").agg(F.count("*").alias("distinct_count")), "field_profile_id")
-    names = shape_fields(fields).select("field_profile_id", "field_name", "observed_type")
+    objects = materialize(event_objects(spark, sf_dir))
+    counts = materialize(values.value_counts(explode_fields(objects)))
+    sums = summary_counts(counts).join(counts.groupBy("field_profile_id").agg(F.count("*").alias("distinct_count")), "field_profile_id")
+    names = shape_fields(shapes(objects)).select("field_profile_id", "field_name", "observed_type")
     return names.join(sums, "field_profile_id").drop("field_profile_id")
 
 
 def field_summary_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = materialize(order_fields(spark, sf_dir))
-    counts = values.value_counts(fields).groupBy("field_profile_id").agg(F.count("*").alias("distinct_count"), F.sum("bytes").alias("value_bytes"))
-    return summary_counts(fields).join(counts, "field_profile_id")
+    counts = materialize(values.value_counts(order_fields(spark, sf_dir)))
+    return summary_counts(counts).join(counts.groupBy("field_profile_id").agg(F.count("*").alias("distinct_count"), F.sum("bytes").alias("value_bytes")), "field_profile_id")
 
 
 # ------------------------------------------------------------------ values
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    fields = materialize(order_fields(spark, sf_dir))
+    fields = order_fields(spark, sf_dir)
     counts = materialize(values.value_counts(fields))
     return fields, counts, values.decide(counts, ValueProfile())
 
@@ -202,7 +201,7 @@ def heavy_hitters_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def heavy_hitter_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the most frequent line numbers stand first; the threshold of 3 makes them approximate."""
-    fields = materialize(order_fields(spark, sf_dir).filter("field_name = 'qty'"))
+    fields = materialize(with_field_ids(order_fields(spark, sf_dir).filter("field_name = 'qty'")))
     counts = materialize(values.value_counts(fields))
     ranked = counts.withColumn("r", F.row_number().over(W.partitionBy("field_profile_id").orderBy(F.desc("n"), F.col("text").cast("long")))).filter("r <= 3")
     stored = ranked.select("field_profile_id", hex64(F.col("value_hash")).alias("value_hash"), F.lit("heavy_hitter").alias("value_source"))
@@ -240,24 +239,23 @@ def _ranked() -> tuple[Column, Column]:
 
 
 def object_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = samples.object_samples(materialize(event_objects(spark, sf_dir)), Sampling())
+    found = samples.object_samples(event_objects(spark, sf_dir), Sampling())
     return found.select("object_sample_id", "sample_scope", "sample_key", "sample_kind", "document_index", "sample_json", *_ranked())
 
 
 def object_samples_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = samples.object_samples(materialize(order_objects(spark, sf_dir)), Sampling()).filter("sample_kind <> 'priority_sample'")
+    found = samples.object_samples(order_objects(spark, sf_dir), Sampling()).filter("sample_kind <> 'priority_sample'")
     return found.select("sample_scope", "sample_key", "sample_kind", "document_index", "source_path", "sample_is_empty_object")
 
 
 def value_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    objects = materialize(event_objects(spark, sf_dir))
-    found = samples.value_samples(materialize(explode_fields(objects)), objects, Sampling())
+    found = samples.value_samples(event_objects(spark, sf_dir), Sampling())
     return found.select("value_sample_id", "field_profile_id", "value_hash", "sample_kind", "document_index", "value_json", "parent_object_json", *_ranked())
 
 
 def sample_keys_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sample keys of all objects that are no keys of the objects with fields."""
-    found = samples.object_samples(materialize(order_objects(spark, sf_dir)), Sampling())
+    found = materialize(samples.object_samples(order_objects(spark, sf_dir), Sampling()))
     keys = found.select("sample_scope", "sample_key").distinct()
     return keys.subtract(found.filter("sample_kind = 'first_non_empty'").select("sample_scope", "sample_key"))
 
@@ -278,7 +276,7 @@ def diag_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diag_sample_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.object_sample_kinds(samples.object_samples(materialize(order_objects(spark, sf_dir)), Sampling()))
+    return d.object_sample_kinds(samples.object_samples(order_objects(spark, sf_dir), Sampling()))
 
 
 def diag_value_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,7 +293,7 @@ def diag_top_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def diag_priority_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Most priority samples that any key of a scope has."""
-    found = samples.object_samples(materialize(order_objects(spark, sf_dir)), Sampling()).filter("sample_kind = 'priority_sample'")
+    found = samples.object_samples(order_objects(spark, sf_dir), Sampling()).filter("sample_kind = 'priority_sample'")
     return found.groupBy("sample_scope", "sample_key").agg(F.count("*").alias("n")).groupBy("sample_scope").agg(F.max("n").alias("most"), F.count("*").alias("n_keys"))
 
 

@@ -44,13 +44,26 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("value"), F.monotonically_increasing_id().alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
     )
-    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    splits = line_splits(lines)
     before = F.coalesce(F.sum("n").over(W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    splits = materialize(splits.withColumn("before", before).drop("n"))
-    splits = F.broadcast(splits) if splits.count() <= MAX_BROADCAST_SPLITS else splits
-    raw = F.regexp_replace("value", "\r$", "")
-    numbered = lines.join(splits, ["file", "block"]).select((F.col("before") + F.col("id") - F.col("first_id")).alias("doc_idx"), raw.alias("raw"))
-    return numbered.filter(F.col("raw").rlike(r"(?U)\S"))
+    return _numbered(lines, materialize(splits.withColumn("before", before).drop("n"))).select(F.col("line").alias("doc_idx"), "raw")
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """(file, line, raw) of lines that are not blank, numbered within their file; ``lines``: value, id, file, block."""
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return _numbered(lines, materialize(line_splits(lines).withColumn("before", before).drop("n"))).select("file", "line", "raw")
+
+
+def line_splits(lines: DataFrame) -> DataFrame:
+    """Lines and least running id of every file split."""
+    return lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+def _numbered(lines: DataFrame, splits: DataFrame) -> DataFrame:
+    side = F.broadcast(splits) if splits.count() <= MAX_BROADCAST_SPLITS else splits
+    rows = lines.join(side, ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first_id")).alias("line"), F.regexp_replace("value", "\r$", "").alias("raw"))
+    return rows.filter(F.col("raw").rlike(r"(?U)\S"))
 
 
 def read_documents(spark: SparkSession, path: str, wanted: str = "auto") -> tuple[DataFrame, str]:

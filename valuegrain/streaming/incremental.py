@@ -9,50 +9,48 @@ does not merge and is left out: heavy hitters come from the merged value counts.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import ProfileConfig
 from ..functions.paths import materialize
 from ..operators.fields import explode_fields, shape_fields, summary_counts
-from ..operators.ids import PRIORITY
+from ..operators.samples import merged_samples, object_limits, object_samples, value_samples
 from ..operators.shapes import SHAPE, shapes
 from ..operators.values import decide, distributions, field_summaries, value_bytes, value_counts
-from ..operators.walk import scan
-from ..plans.profile import object_frame
+from ..plans.profile import scanned, totals
+from ..sources.documents import number_lines
 
-PARTIALS = ("documents", "shapes", "shape_fields", "summaries", "values", "priorities")
+PARTIALS = ("documents", "shapes", "values", "object_samples", "value_samples")
 
 
 def batch_partials(docs: DataFrame, config: ProfileConfig) -> dict[str, DataFrame]:
     """The mergeable tables of one batch of documents."""
-    everything = materialize(scan(docs, config.scanner))
-    objects = materialize(object_frame(everything))
-    fields = materialize(explode_fields(objects))
-    rank = F.row_number().over(W.partitionBy("field_profile_id").orderBy("priority", "doc_idx", "source_path"))
-    least = fields.withColumn("rank", rank).filter(F.col("rank") <= config.sampling.value_priority_limit_per_field_profile)
+    everything = materialize(scanned(docs, config.scanner))
+    objects = everything.filter("path IS NOT NULL")
     return {
         "documents": everything.filter("path IS NULL").agg(F.count("*").alias("documents"), F.sum("n_arrays").alias("arrays"), F.sum("n_scalars").alias("scalars")),
         "shapes": shapes(objects),
-        "shape_fields": shape_fields(fields),
-        "summaries": summary_counts(fields),
-        "values": value_counts(fields).drop("bytes"),
-        "priorities": least.select("field_profile_id", "doc_idx", "source_path", "value_hash", "observed_type", "text", "priority"),
+        "values": value_counts(explode_fields(objects)).drop("bytes"),
+        "object_samples": object_samples(objects, config.sampling),
+        "value_samples": value_samples(objects, config.sampling),
     }
 
 
 def start(spark: SparkSession, source: str, state: str, config: ProfileConfig | None = None, available_now: bool = True):  # noqa: ANN201
     """Follow the JSONL files of folder ``source``; partial tables go to ``state``.
 
-    Documents are numbered by line within a file; ``doc_idx`` is a hash of file and line, so it is
-    stable across batches but not consecutive.
+    A document's index is stable across batches and tells places apart: the upper bits are a hash of the
+    file's name (so two files may share it with probability 2e-8 a pair), the lower 38 the line's number in
+    its file as ``read_jsonl`` counts it.  Order is that of lines within a file, files come by hash.
     """
     config = config or ProfileConfig(heavy_hitters="exact")
     lines = spark.readStream.option("lineSep", "\n").text(source)
-    rows = lines.select(F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), "value").alias("doc_idx"), F.regexp_replace("value", "\r$", "").alias("raw")).filter(F.col("raw").rlike(r"(?U)\S"))
+    rows = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
     def save(batch: DataFrame, number: int) -> None:
-        for name, df in batch_partials(materialize(batch), config).items():
+        numbered = number_lines(materialize(batch.withColumn("id", F.monotonically_increasing_id())))
+        at = F.shiftleft(F.pmod(F.xxhash64("file"), F.lit(1 << 25)), 38) + F.col("line")
+        for name, df in batch_partials(numbered.select(at.alias("doc_idx"), "raw"), config).items():
             df.write.mode("overwrite").parquet(f"{state}/{name}/batch={number}")
 
     writer = rows.writeStream.foreachBatch(save).option("checkpointLocation", f"{state}/_checkpoint")
@@ -60,25 +58,27 @@ def start(spark: SparkSession, source: str, state: str, config: ProfileConfig |
 
 
 def merged(spark: SparkSession, state: str, config: ProfileConfig | None = None) -> dict[str, DataFrame]:
-    """Shapes, shape fields, field summaries, field values and priority values over all batches so far."""
+    """The seven tables over all batches so far.
+
+    Least hashes and firsts of a whole are among those of its parts, so the samples of the batches merge.
+    """
     config = config or ProfileConfig(heavy_hitters="exact")
     part = {name: spark.read.parquet(f"{state}/{name}").drop("batch") for name in PARTIALS}
     first = F.min("first_seen_document_index").alias("first_seen_document_index")
     shape_table = part["shapes"].groupBy(*SHAPE, "first_seen_path").agg(F.sum("object_count").alias("object_count"), first)
-    names = ["field_profile_id", "shape_id", "field_name", "observed_type"]
-    sums = [F.sum(c).alias(c) for c in part["summaries"].columns if c != "field_profile_id"]
+    shape_table = materialize(shape_table.select(*SHAPE, "object_count", "first_seen_document_index", "first_seen_path"))
     values = part["values"].groupBy("field_profile_id", "value_hash", "observed_type", "text").agg(F.sum("n").alias("n"))
     counts = materialize(values.withColumn("bytes", value_bytes(F.col("observed_type"), F.col("text"))))
     decided = materialize(decide(counts, config.value_profile))
     stored = materialize(distributions(counts, counts, decided, config.value_profile, "exact"))
-    rank = F.row_number().over(W.partitionBy("field_profile_id").orderBy("priority", "doc_idx", "source_path"))
-    limit = config.sampling.value_priority_limit_per_field_profile
+    documents = part["documents"].agg(F.sum("documents").alias("d"), F.sum("arrays").alias("a"), F.sum("scalars").alias("s"))
+    field_table = shape_fields(shape_table)
     return {
-        "totals": part["documents"].agg(*(F.sum(c).alias(c) for c in ("documents", "arrays", "scalars"))),
-        "prof_shape": shape_table.select(*SHAPE, "object_count", "first_seen_document_index", "first_seen_path"),
-        "prof_shape_field": part["shape_fields"].groupBy(*names).agg(F.sum("observed_count").alias("observed_count"), F.sum("null_count").alias("null_count")),
-        "prof_field_summary": field_summaries(part["summaries"].groupBy("field_profile_id").agg(*sums), counts, decided, stored, config.value_profile),
+        "prof_source_summary": totals(documents, shape_table, field_table, stored, "jsonl"),
+        "prof_object_sample": merged_samples(part["object_samples"], ["sample_scope", "sample_key"], object_limits(config.sampling)),
+        "prof_shape": shape_table,
+        "prof_shape_field": field_table,
+        "prof_field_summary": field_summaries(summary_counts(counts), counts, decided, stored, config.value_profile),
         "prof_field_value": stored,
-        "priority_values": part["priorities"].withColumn("sample_rank", rank).filter(F.col("sample_rank") <= limit).withColumn("sample_kind", F.lit(PRIORITY)),
+        "prof_field_value_sample": merged_samples(part["value_samples"], ["field_profile_id"], F.lit(config.sampling.value_priority_limit_per_field_profile)),
     }
-
