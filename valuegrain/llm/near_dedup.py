@@ -21,13 +21,15 @@ Chance of missing a link at similarity 0.75: each tree finds it with 0.75 ** 2,
 2e-6, and so in dense regions, where the join covers what the cuts leave out.
 
 Defined results: null or blank texts have an empty set and are linked with nothing; texts under five
-words are one shingle; repeated ids share their component; rows without an id are returned unlinked;
-an empty table gives an empty result; extra columns are ignored.
+words are one shingle; rows that repeat an id are one document with several texts, so what any of them is
+linked with is in one component (rows without words stay apart); rows without an id are returned
+unlinked; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +53,8 @@ MIN_DEPTH = 2
 REGION = 24
 #: Standard errors below the threshold at which a signature rules a pair out.
 SLACK = 5.0
+#: Bits of each signature value that the join of cut runs compares.
+PLANES = 4
 #: Nodes of cut runs whose shingles are counted to tell common ones, and common ones told; both touch time only.
 COUNTED_NODES = 10_000
 MAX_COMMON = 200_000
@@ -206,8 +210,6 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``pairs`` with ``alike``, the share of equal signature values, without those ruled out."""
-    p = PERCENT / 100
-    least = p - SLACK * (p * (1 - p) / VALUES) ** 0.5
 
     @F.pandas_udf("double")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -217,7 +219,7 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         return pd.Series((a == b).mean(1))
 
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", alike("sig_a", "sig_b").alias("alike")).filter(F.col("alike") >= least)
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", alike("sig_a", "sig_b").alias("alike")).filter(F.col("alike") >= least_alike())
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -287,8 +289,24 @@ def first_shingles(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.
     return s[np.argsort(often, kind="stable")][: len(s) - -(-PERCENT * len(s) // 100) + 1]
 
 
+def least_alike() -> float:
+    """The share of equal signature values below which a pair is ruled out."""
+    p = PERCENT / 100
+    return p - SLACK * (p * (1 - p) / VALUES) ** 0.5
+
+
+def planes(signatures: pa.Array) -> list[np.ndarray]:
+    """The lowest ``PLANES`` bits of each signature's values, bit by bit: ``PLANES`` longs a signature."""
+    values = np.frombuffer(b"".join(signatures.to_pylist()), ">u2").reshape(-1, VALUES)
+    return [np.packbits((values >> k) & 1, axis=1).view(">i8").ravel().astype(np.int64) for k in range(PLANES)]
+
+
 def joined_pairs(sets: DataFrame, nodes: int) -> DataFrame:
-    """``sets`` (node, group, set) to all pairs (a, b) of different groups that may reach the threshold."""
+    """``sets`` (node, group, set, sig) to all pairs (a, b) of different groups that may reach the threshold.
+
+    The signature check of ``likely`` is made within the join, on a few bits of each value: values that
+    differ there differ, so nothing goes that ``likely`` would keep, and few pairs leave the join.
+    """
     common, counts = common_shingles(sets, nodes)
     told = sets.sparkSession.sparkContext.broadcast((common, counts))
 
@@ -300,24 +318,37 @@ def joined_pairs(sets: DataFrame, nodes: int) -> DataFrame:
             k, n = np.array([len(f) for f in first]), np.array([len(s) for s in sets])
             # what two sets can share whose first common shingle is this one
             most = np.repeat(n, k) - np.concatenate([np.arange(len(f)) for f in first])
-            each = [np.concatenate(first).view(np.int64), *(np.repeat(x, k) for x in (batch.column(0).to_numpy(), batch.column(1).to_numpy(), n)), most]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in each], ["shingle", "node", "group", "n", "most"])
-
-    rows = written(sets.select("node", "group", "set").mapInArrow(run, "shingle long, node long, group long, n long, most long"))
+            bits = [np.repeat(x, k) for x in planes(batch.column(3))]
+            each = [np.concatenate(first).view(np.int64), *(np.repeat(x, k) for x in (batch.column(0).to_numpy(), batch.column(1).to_numpy(), n)), most, *bits]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in each], names)
+
+    own = [f"bits{k}" for k in range(PLANES)]
+    names = ["shingle", "node", "group", "n", "most", *own]
+    rows = written(sets.select("node", "group", "set", "sig").mapInArrow(run, ", ".join(f"{c} long" for c in names)))
+    differ = " | ".join(f"({c}_a ^ {c}_b)" for c in own)
+    alike = f"bit_count({differ}) <= {VALUES - math.ceil(VALUES * least_alike())}"
     enough = lambda c: f"{100 + PERCENT} * most_{c} >= {PERCENT} * (n_a + n_b)"
-    side = lambda c: rows.select("shingle", *(F.col(x).alias(f"{x}_{c}") for x in ("node", "group", "n", "most")))
+    side = lambda c: rows.select("shingle", *(F.col(x).alias(f"{x}_{c}") for x in names[1:]))
     # the smaller set's place is within what an equal set allows
     small = side("a").filter(f"{100 + PERCENT} * most_a >= {2 * PERCENT} * n_a").hint("merge")
-    pairs = small.join(side("b"), "shingle").filter(f"(n_a < n_b OR n_a = n_b AND node_a < node_b) AND group_a <> group_b AND {enough('a')} AND {enough('b')}")
+    pairs = small.join(side("b"), "shingle").filter(f"(n_a < n_b OR n_a = n_b AND node_a < node_b) AND group_a <> group_b AND {enough('a')} AND {enough('b')} AND {alike}")
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """The packed sets (node, set) of the nodes ``ids`` (node)."""
-    few = ids.count() <= MAX_BROADCAST_IDS
-    wanted = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["node"], "left_semi")
-    sets = sketches(wanted, keep_set=True).select(F.col("doc_id").alias("node"), "digest", F.col("sketch").alias("set"))
-    return written(sets.join(nodes.select("node", "digest"), ["node", "digest"], "left_semi").select("node", "set").dropDuplicates(["node"]))
+    """The packed sets (node, set) and signatures (sig) of the nodes ``ids`` (node), each from its least document."""
+    wanted = written(nodes.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "node", "left_semi").select("node", "doc_id", "digest", "sig"))
+    some = wanted.select(F.col("doc_id").alias("wanted_id"))
+    rows = docs.join(F.broadcast(some) if some.count() <= MAX_BROADCAST_IDS else some, docs["doc_id"] == some["wanted_id"], "left_semi")
+    sets = sketches(rows, keep_set=True).select("doc_id", "digest", F.col("sketch").alias("set"))
+    return written(sets.join(wanted, ["doc_id", "digest"]).select("node", "set", "sig").dropDuplicates(["node"]))
+
+
+def same_id(usable: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes that share an id: rows that repeat it with other texts."""
+    repeated = usable.select("doc_id", "digest").distinct().withColumn("n", F.count("*").over(W.partitionBy("doc_id"))).filter("n > 1")
+    named = repeated.join(nodes.select("digest", "node"), "digest").select("doc_id", "node")
+    return named.withColumn("a", F.min("node").over(W.partitionBy("doc_id"))).filter("a < node").select("a", F.col("node").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -325,9 +356,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = written(sketches(docs))
     usable = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = written(
-        usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("x")).select("digest", F.col("x.doc_id").alias("node"), F.col("x.n_shingles").alias("n"), F.col("x.sketch").alias("sig"))
-    )
+    nodes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("x"))
+    # numbered when written, and read from there ever after
+    nodes = written(nodes.select("digest", F.monotonically_increasing_id().alias("node"), F.col("x.doc_id").alias("doc_id"), F.col("x.n_shingles").alias("n"), F.col("x.sketch").alias("sig")))
     one = nodes.select("node", "n", "sig")
     found, runs = candidates(one)
     pairs = written(likely(found, one))
@@ -339,11 +370,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sets = full_sets(docs, nodes, dense.select("node"))
         missed = written(likely(joined_pairs(sets.join(dense, "node"), size), one))
         if not missed.isEmpty():
-            links, groups = linked(missed, sets, links)
-    named = nodes.select("digest", "node").join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("group"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    group = F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id"))
-    return out.select("doc_id", "n_shingles", group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"))
+            links, groups = linked(missed, sets.select("node", "set"), links)
+    shared = written(same_id(usable, nodes))
+    if not shared.isEmpty():
+        groups = written(components(links.unionByName(shared)))
+    first = groups.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
+    member = groups.join(first, "component").select("node", "least")
+    named = nodes.select("digest", "node", "doc_id").join(member, "node", "left").select("digest", F.coalesce("least", "doc_id").alias("group"))
+    slim, single = rows.select("doc_id", "n_shingles", "digest"), F.col("digest").isNull() | F.col("doc_id").isNull()
+    out = slim.filter(~single).join(named, "digest").select("doc_id", "n_shingles", F.col("group").alias("component_id"))
+    out = out.unionByName(slim.filter(single).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
