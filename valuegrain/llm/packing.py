@@ -38,7 +38,9 @@ END = (1).to_bytes(4, "little")
 BIN = 128
 MAX_PARTS = 6
 SHARES = (1.0, 0.5, 0.3, 0.2)
-#: (length, salt) rows that are broadcast at most (about 10 MB).
+#: Pieces of one length and salt, about: what one window holds, however many there are of a length.
+PER_SALT = 4000
+#: (length, salt) rows that are broadcast at most (about 10 MB); more are joined by shuffle.
 MAX_BROADCAST = 300_000
 
 
@@ -213,13 +215,15 @@ def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
         counts[length] = n
     plan = min((Plan(counts, limit, x) for x in SHARES), key=lambda p: p.sequences)
     runs = np.array(sorted(plan.runs) or np.zeros((0, 5)), np.int64).reshape(-1, 5)
-    salts = int(min(64, max(1, -(-int(counts.sum()) // 2000))))
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)).cast("int")
-    salted = pieces.withColumn("salt", salt)
+    # a length has as many salts as its pieces need, so no rank is taken over many more than ``PER_SALT``
+    needed = [(k, int(-(-n // PER_SALT))) for k, n in enumerate(counts.tolist()) if n]
+    salts = pieces.sparkSession.createDataFrame(needed, "length long, salts long")  # ``limit`` rows at most
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.col("salts"))
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", salt).drop("salts")
     base = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     base = written(base.withColumn("base", F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n"))
     rank = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "start")) - 1
-    side = F.broadcast(base) if salts * limit <= MAX_BROADCAST else base
+    side = F.broadcast(base) if sum(n for _, n in needed) <= MAX_BROADCAST else base
     ranked = salted.withColumn("rank", rank).join(side, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base")).drop("salt", "base")
     key = (runs[:, 0] << 44) + runs[:, 1]
 
