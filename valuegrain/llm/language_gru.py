@@ -14,7 +14,7 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -197,8 +197,11 @@ def train(docs: DataFrame, per_lang: int = MAX_TRAIN_PER_LANG) -> Gru:
     return fit(texts)
 
 
-def predict(docs: DataFrame, net: Gru) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of ``docs``."""
+def predict(docs: DataFrame, net: Gru, carried: Sequence[str] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for every row of ``docs``, and columns of it by number (carried_0, ...)."""
+    own = [c for c in carried if c not in ("doc_id", "text")]
+    at = {"doc_id": 0, "text": 2, **{c: 3 + i for i, c in enumerate(own)}}
+    out_names = ["doc_id", "held_out", "lang_pred", "score", *(f"carried_{i}" for i in range(len(carried)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 400):
@@ -211,11 +214,14 @@ def predict(docs: DataFrame, net: Gru) -> DataFrame:
                 best = p.argmax(1)
                 score = np.where([bool(t) for t in texts], p.max(1), 0.0)
                 lang = [net.langs[k] if t else UNDETERMINED for k, t in zip(best, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang), pa.array(np.clip(score, 0, 1))], ["doc_id", "held_out", "lang_pred", "score"])
+            told = [batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1))]
+            yield pa.RecordBatch.from_arrays([*told, *(batch.column(at[c]) for c in carried)], out_names)
 
     small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "text")
-    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
+    rows = docs.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "text", *(F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(own)))
+    kinds = dict(docs.dtypes)
+    told = ["doc_id " + kinds["doc_id"], "held_out boolean", "lang_pred string", "score double"]
+    return rows.mapInArrow(run, ", ".join([*told, *(f"carried_{i} {kinds[c]}" for i, c in enumerate(carried))]))
 
 
 def op6_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
