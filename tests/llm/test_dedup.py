@@ -5,7 +5,6 @@ import random
 import re
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,15 +188,3 @@ def test_near_repeated_ids_with_other_texts(spark):
     df = make_docs(spark, [a, b, a + " more", b + " more", c, c + " end", a], ids=[1, 1, 2, 3, 4, 9, 8])
     got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect())
     assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (8, 1, False), (9, 4, False)]
-
-
-def test_planes_differ_less_than_signatures():
-    rng = np.random.default_rng(5)
-    a, b = (rng.integers(0, 2**16, near_dedup.VALUES).astype(">u2") for _ in range(2))
-    b[:40] = a[:40]
-    p = near_dedup.planes(pa.array([a.tobytes(), b.tobytes()]))
-    differ = 0
-    for x in p:
-        differ |= int(x[0]) ^ int(x[1])
-    low = int(((a & (2**near_dedup.PLANES - 1)) != (b & (2**near_dedup.PLANES - 1))).sum())
-    assert (differ & (2**64 - 1)).bit_count() == low <= int((a != b).sum())

@@ -53,8 +53,6 @@ MIN_DEPTH = 2
 REGION = 24
 #: Standard errors below the threshold at which a signature rules a pair out.
 SLACK = 5.0
-#: Bits of each signature value that the join of cut runs compares.
-PLANES = 4
 #: Nodes of cut runs whose shingles are counted to tell common ones, and common ones told; both touch time only.
 COUNTED_NODES = 10_000
 MAX_COMMON = 200_000
@@ -211,6 +209,7 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``pairs`` with ``alike``, the share of equal signature values, without those ruled out."""
 
+    # said to be nondeterministic, so that it isn't evaluated once to filter and once more to select
     @F.pandas_udf("double")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
         if not len(x):
@@ -219,7 +218,7 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         return pd.Series((a == b).mean(1))
 
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", alike("sig_a", "sig_b").alias("alike")).filter(F.col("alike") >= least_alike())
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", alike.asNondeterministic()("sig_a", "sig_b").alias("alike")).filter(F.col("alike") >= least_alike())
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -295,18 +294,8 @@ def least_alike() -> float:
     return p - SLACK * (p * (1 - p) / VALUES) ** 0.5
 
 
-def planes(signatures: pa.Array) -> list[np.ndarray]:
-    """The lowest ``PLANES`` bits of each signature's values, bit by bit: ``PLANES`` longs a signature."""
-    values = np.frombuffer(b"".join(signatures.to_pylist()), ">u2").reshape(-1, VALUES)
-    return [np.packbits((values >> k) & 1, axis=1).view(">i8").ravel().astype(np.int64) for k in range(PLANES)]
-
-
 def joined_pairs(sets: DataFrame, nodes: int) -> DataFrame:
-    """``sets`` (node, group, set, sig) to all pairs (a, b) of different groups that may reach the threshold.
-
-    The signature check of ``likely`` is made within the join, on a few bits of each value: values that
-    differ there differ, so nothing goes that ``likely`` would keep, and few pairs leave the join.
-    """
+    """``sets`` (node, group, set) to all pairs (a, b) of different groups that may reach the threshold."""
     common, counts = common_shingles(sets, nodes)
     told = sets.sparkSession.sparkContext.broadcast((common, counts))
 
@@ -318,30 +307,26 @@ def joined_pairs(sets: DataFrame, nodes: int) -> DataFrame:
             k, n = np.array([len(f) for f in first]), np.array([len(s) for s in sets])
             # what two sets can share whose first common shingle is this one
             most = np.repeat(n, k) - np.concatenate([np.arange(len(f)) for f in first])
-            bits = [np.repeat(x, k) for x in planes(batch.column(3))]
-            each = [np.concatenate(first).view(np.int64), *(np.repeat(x, k) for x in (batch.column(0).to_numpy(), batch.column(1).to_numpy(), n)), most, *bits]
+            each = [np.concatenate(first).view(np.int64), *(np.repeat(x, k) for x in (batch.column(0).to_numpy(), batch.column(1).to_numpy(), n)), most]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in each], names)
 
-    own = [f"bits{k}" for k in range(PLANES)]
-    names = ["shingle", "node", "group", "n", "most", *own]
-    rows = written(sets.select("node", "group", "set", "sig").mapInArrow(run, ", ".join(f"{c} long" for c in names)))
-    differ = " | ".join(f"({c}_a ^ {c}_b)" for c in own)
-    alike = f"bit_count({differ}) <= {VALUES - math.ceil(VALUES * least_alike())}"
+    names = ["shingle", "node", "group", "n", "most"]
+    rows = written(sets.select("node", "group", "set").mapInArrow(run, ", ".join(f"{c} long" for c in names)))
     enough = lambda c: f"{100 + PERCENT} * most_{c} >= {PERCENT} * (n_a + n_b)"
     side = lambda c: rows.select("shingle", *(F.col(x).alias(f"{x}_{c}") for x in names[1:]))
     # the smaller set's place is within what an equal set allows
     small = side("a").filter(f"{100 + PERCENT} * most_a >= {2 * PERCENT} * n_a").hint("merge")
-    pairs = small.join(side("b"), "shingle").filter(f"(n_a < n_b OR n_a = n_b AND node_a < node_b) AND group_a <> group_b AND {enough('a')} AND {enough('b')} AND {alike}")
+    pairs = small.join(side("b"), "shingle").filter(f"(n_a < n_b OR n_a = n_b AND node_a < node_b) AND group_a <> group_b AND {enough('a')} AND {enough('b')}")
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """The packed sets (node, set) and signatures (sig) of the nodes ``ids`` (node), each from its least document."""
-    wanted = written(nodes.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "node", "left_semi").select("node", "doc_id", "digest", "sig"))
+    """The packed sets (node, set) of the nodes ``ids`` (node), each from its least document."""
+    wanted = written(nodes.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "node", "left_semi").select("node", "doc_id", "digest"))
     some = wanted.select(F.col("doc_id").alias("wanted_id"))
     rows = docs.join(F.broadcast(some) if some.count() <= MAX_BROADCAST_IDS else some, docs["doc_id"] == some["wanted_id"], "left_semi")
     sets = sketches(rows, keep_set=True).select("doc_id", "digest", F.col("sketch").alias("set"))
-    return written(sets.join(wanted, ["doc_id", "digest"]).select("node", "set", "sig").dropDuplicates(["node"]))
+    return written(sets.join(wanted, ["doc_id", "digest"]).select("node", "set").dropDuplicates(["node"]))
 
 
 def same_id(usable: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -370,7 +355,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sets = full_sets(docs, nodes, dense.select("node"))
         missed = written(likely(joined_pairs(sets.join(dense, "node"), size), one))
         if not missed.isEmpty():
-            links, groups = linked(missed, sets.select("node", "set"), links)
+            links, groups = linked(missed, sets, links)
     shared = written(same_id(usable, nodes))
     if not shared.isEmpty():
         groups = written(components(links.unionByName(shared)))
