@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -78,6 +79,67 @@ def test_blocks():
         read_blocks(page)
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ('<article><p>before</p><svg><path d="x"><p>after one</p><p>after two</p>', ["before", "after one", "after two"]),
+    ("<p>a <math><mi>x</mi><mo>+</mo></math> b</p>", ["a x+ b"]),
+    ("<noscript><p>main</p></noscript>", ["main"]),
+    ('<object data="x"><p>rest</p>', ["rest"]),
+    ("<template><p>a</p><template>b</template><p>c</p></template><p>d</p>", ["d"]),
+    ("<script/>code</script><p>d</p>", ["d"]),
+    ("<script>code<p>more", []),
+    ("""<a title="it's > that">link end</a>""", ["link end"]),
+    ("<p>it's 5 > 3 <b class='x>y'>z</b></p>", ["it's 5 > 3 z"]),
+    ("<select><option>a</select><p>z<select><p>y", ["z", "y"]),
+    ("<textarea><p>q</p></textarea>m<textarea><p>n", ["m", "n"]),
+    ("<svg/><p>x</p><svg><svg></svg><g>y</g></svg>", ["x"]),
+    ("<head><title>x</title></head><body>b", ["b"]),
+    ("<head><body>b</body>", ["b"]),
+])
+def test_blocks_of_unclosed_and_nested_elements(page, want):
+    assert [b.text for b in read_blocks(page)] == want
+
+
+@pytest.mark.parametrize("page", ["<svg>" * 30_000, "<svg>" * 30_000 + "</svg>", "<textarea>" * 30_000, '<p a="' + "x> " * 100_000, "<p " + 'a="1" ' * 50_000, "<p a='" * 30_000])
+def test_odd_pages_take_linear_time(page):
+    began = time.time()
+    read_blocks(page)
+    assert time.time() - began < 5
+
+
+def test_blocks_hold_what_another_parser_reads():
+    from html.parser import HTMLParser
+
+    class Texts(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.skip = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style", "svg", "template", "select", "textarea")
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style", "svg", "template", "select", "textarea")
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.out += data.split()
+
+    rng = random.Random(3)
+
+    def some(depth):
+        kind = rng.choice(["p", "div", "ul", "b", "a", "svg", "script", "math", "object", "noscript", "template", "select", "textarea", "section"])
+        if kind in ("script", "textarea"):
+            return f"<{kind}>w{rng.randrange(99)}</{kind}>"
+        inner = "".join(rng.choice([f" w{rng.randrange(99)} &amp; ", some(depth + 1)]) if depth < 4 else " leaf " for _ in range(rng.randrange(1, 4)))
+        return f"<{kind} title='a>b' class=\"{rng.choice('xyz')}\">{inner}</{kind}>"
+
+    for _ in range(300):
+        page = "<body>" + some(0) + some(0) + "</body>"
+        reader = Texts()
+        reader.feed(page)
+        assert " ".join(b.text for b in read_blocks(page)).split() == reader.out, page
+
+
 def test_gradients_of_the_block_labeller():
     rng = np.random.default_rng(1)
     net = html_lstm.Labeller(rng.normal(0, 0.3, (html_lstm.PATH_SLOTS, html_lstm.DIM)).astype(np.float32), rng.normal(0, 0.3, (html_lstm.WORD_SLOTS, html_lstm.DIM)).astype(np.float32), [rng.normal(0, 0.3, (4 * html_lstm.HIDDEN, 2 * html_lstm.DIM + html_lstm.FIGURES + html_lstm.HIDDEN + 1)).astype(np.float32) for _ in range(2)], rng.normal(0, 0.3, 2 * html_lstm.HIDDEN + 1).astype(np.float32))

@@ -191,7 +191,7 @@ def figures(blocks: list[Block]) -> np.ndarray:
         size, words = len(b.text), b.text.count(" ") + 1
         out[i] = (
             np.log1p(size) / 6, np.log1p(words) / 4, min(b.link / size, 1.0), b.text[-1] in ".!?:;\"'”»)", min(b.text.count(".") / words, 1.0),
-            min(b.text.count(",") / words, 1.0), sum(map(str.isdigit, b.text[:200])) / min(size, 200), i / n, len(b.path) / 12, "©" in b.text,
+            min(b.text.count(",") / words, 1.0), sum(map(str.isdigit, b.text)) / size, i / n, len(b.path) / 12, "©" in b.text,
         )
     return out
 
