@@ -273,6 +273,29 @@ def test_command_line(spark, tmp_path, refs_path, capsys):
     assert got.out == "" and got.err.startswith("WARNING W_CANONICAL_PATH_UNAVAILABLE ")
 
 
+def test_diagnosis_of_broken_files(spark, tmp_path, refs_path, capsys):
+    import sqlite3
+
+    (tmp_path / "a.jsonl").write_text('{"a":1}\n{"a":2}\n')
+    out, folder = str(tmp_path / "p.sqlite"), str(tmp_path / "pq")
+    for to in (out, folder):
+        assert cli.main([str(tmp_path / "a.jsonl"), "--refs", refs_path, "-o", to, "--quiet"], spark) == 0
+    capsys.readouterr()
+    assert cli.main(["--diagnose", "--fail-on-risk", folder], spark) == 0
+    assert "== sizes" in (got := capsys.readouterr().out) and "status=ok" in got
+    assert cli.main(["--diagnose", "--fail-on-risk", "--value-sample-limit", "1", "--type-set-limit", "1", "--top", "1", out], spark) == 2
+    got = capsys.readouterr().out
+    assert "RISK value priority samples exceed" in got and "RISK object priority samples exceed" in got and "risk_count=2" in got
+    with sqlite3.connect(out) as db:
+        db.execute("CREATE TABLE prof_run (x)")
+        db.execute("CREATE VIEW v AS SELECT 1")
+        db.execute("DROP TABLE prof_field_value")
+    db.close()
+    assert cli.main(["--diagnose", out], spark) == 0 and cli.main(["--diagnose", "--fail-on-risk", out], spark) == 2
+    got = capsys.readouterr().out
+    assert all(f"RISK {x}" in got for x in ("missing table prof_field_value", "forbidden table prof_run", "view v"))
+
+
 def test_command_line_errors(spark, tmp_path, refs_path, capsys):
     (tmp_path / "bad.jsonl").write_text('{"a":1}\n{]\n')
     for args, says in ((["-"], "stdin is not supported"), (["none.json"], "input path is not a file"), ([str(tmp_path / "bad.jsonl"), "--refs", "none"], "refs sqlite path is not a file"), ([str(tmp_path / "bad.jsonl"), "--refs", refs_path, "--hll-precision", "2"], "hll_precision"), ([str(tmp_path / "bad.jsonl"), "--refs", refs_path, "-o", str(tmp_path / "x.sqlite")], "json parse error")):

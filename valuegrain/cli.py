@@ -16,7 +16,7 @@ from .config import ConfigError, ProfileConfig, load_yaml
 from .perf import PerfLog
 from .plans.diagnose import Limits, diagnose
 from .plans.profile import profile
-from .sources.sinks import read_parquet, read_sqlite, sqlite_sizes, write_parquet, write_sqlite
+from .sources.sinks import ORDER, folder_catalog, folder_sizes, read_parquet, read_sqlite, sqlite_catalog, sqlite_sizes, write_parquet, write_sqlite
 
 TOTALS = ("document", "object", "array", "scalar", "canonical_path", "site_path", "shape", "field_profile", "stored_value")
 
@@ -38,6 +38,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--heavy-hitters", choices=("sequential", "exact"))
     p.add_argument("--diagnose", action="store_true")
     p.add_argument("--fail-on-risk", action="store_true")
+    for name in ("top", "hh-context-limit", "canonical-limit", "site-limit", "field-set-limit", "type-set-limit"):
+        p.add_argument(f"--{name}", type=int, help="with --diagnose")
     return p
 
 
@@ -64,6 +66,40 @@ def config_of(args: argparse.Namespace) -> ProfileConfig:
     return config
 
 
+def limits_of(args: argparse.Namespace) -> Limits:
+    """What a profile may hold at most, and how many rows reports show."""
+    given = lambda value, default: default if value is None else value
+    limits = Limits()
+    scopes = {"canonical_path": args.canonical_limit, "site_path": args.site_limit, "field_set": args.field_set_limit, "type_set": args.type_set_limit}
+    return Limits(
+        given(args.heavy_hitter_limit, limits.heavy_hitter),
+        given(args.hh_context_limit, limits.context),
+        given(args.value_sample_limit, limits.value),
+        {k: given(v, limits.scopes[k]) for k, v in scopes.items()},
+        given(args.top, limits.top),
+    )
+
+
+def run_diagnosis(args: argparse.Namespace, spark: SparkSession) -> int:
+    path = args.input_file
+    if path.endswith((".sqlite", ".db", ".sqlite3")):
+        tables, catalog, sizes = read_sqlite(spark, path), sqlite_catalog(path), sqlite_sizes(path)
+    else:
+        catalog = folder_catalog(spark, path)
+        tables, sizes = read_parquet(spark, path, [t for t in ORDER if ("table", t) in catalog]), folder_sizes(spark, path)
+    found = diagnose(tables, limits_of(args), catalog)
+    print("== sizes")
+    for name, size in sizes:
+        print(f"{name} {size}")
+    for name, report in found.reports.items():
+        print(f"== {name}")
+        report.show(50, truncate=80)
+    for risk in found.risks:
+        print(f"RISK {risk}")
+    print(f"risk_count={len(found.risks)}\nstatus={found.status}")
+    return 2 if args.fail_on_risk and found.risks else 0
+
+
 def summary_text(out: str, totals: dict[str, int], elapsed: float) -> str:
     lines = [f"valuegrain: wrote {out}", ""] + [f"{n}s: {totals[f'total_{n}_count']}" for n in TOTALS] + [f"elapsed: {elapsed:.3f}s"]
     return "\n".join(lines) + "\n"
@@ -93,15 +129,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     try:
         spark = spark or SparkSession.builder.appName("valuegrain").config("spark.sql.session.timeZone", "UTC").getOrCreate()
         if args.diagnose:
-            tables = (read_sqlite if args.input_file.endswith((".sqlite", ".db", ".sqlite3")) else read_parquet)(spark, args.input_file)
-            found = diagnose(tables, Limits())
-            for name, report in found.reports.items():
-                print(f"== {name}")
-                report.show(50, truncate=80)
-            for risk in found.risks:
-                print(f"RISK {risk}")
-            print(f"risk_count={len(found.risks)}\nstatus={found.status}")
-            return 2 if args.fail_on_risk and found.risks else 0
+            return run_diagnosis(args, spark)
         config = config_of(args)
         text, warnings = run(config, spark)
         for code, message in warnings:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -34,10 +34,12 @@ class Diagnosis:
         return "risk" if self.risks else "ok"
 
 
-def contract_risks(tables: Mapping[str, DataFrame]) -> list[str]:
-    """Missing and forbidden tables, missing columns."""
+def contract_risks(tables: Mapping[str, DataFrame], catalog: Iterable[tuple[str, str]] = ()) -> list[str]:
+    """Missing and forbidden tables, views, missing columns.  ``catalog``: (kind, name) of all that the profile holds."""
+    there = list(dict.fromkeys([*(("table", t) for t in tables), *catalog]))
     risks = [f"missing table {t}" for t in ORDER if t not in tables]
-    risks += [f"forbidden table {t}" for t in tables if t in FORBIDDEN or t.startswith("prof_array")]
+    risks += [f"forbidden table {t}" for kind, t in there if kind == "table" and (t in FORBIDDEN or t.startswith("prof_array"))]
+    risks += [f"view {t}" for kind, t in there if kind == "view"]
     for t in ORDER:
         if t in tables:
             risks += [f"missing column {t}.{c}" for c in columns(t) if c not in tables[t].columns]
@@ -117,9 +119,9 @@ def shapes_without_first_seen(tables: Mapping[str, DataFrame]) -> DataFrame:
     return tables["prof_shape"].join(first, "shape_id", "left_anti")
 
 
-def diagnose(tables: Mapping[str, DataFrame], limits: Limits | None = None) -> Diagnosis:
+def diagnose(tables: Mapping[str, DataFrame], limits: Limits | None = None, catalog: Iterable[tuple[str, str]] = ()) -> Diagnosis:
     limits = limits or Limits()
-    risks = contract_risks(tables)
+    risks = contract_risks(tables, catalog)
     if any(r.startswith("missing") for r in risks):
         return Diagnosis({}, risks)
     samples, values = tables["prof_object_sample"], tables["prof_field_value_sample"]

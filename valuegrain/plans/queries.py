@@ -20,7 +20,7 @@ from ..functions.paths import materialize
 from ..operators import samples, values
 from ..operators.context import resolve
 from ..operators.fields import explode_fields, shape_fields, summary_counts, with_field_ids
-from ..operators.ids import fnv_hex
+from ..operators.ids import SCOPES, fnv_hex
 from ..operators.shapes import shapes
 from ..operators.walk import nodes, scan
 from ..sources.documents import from_column
@@ -153,7 +153,11 @@ def field_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and distinct values of every field profile of ``events.props``."""
     objects = materialize(event_objects(spark, sf_dir))
     counts = materialize(values.value_counts(explode_fields(objects)))
-    sums = summary_counts(counts).join(counts.groupBy("field_profile_id").agg(F.count("*").alias("distinct_count")), "field_profile_id")
+    options = ValueProfile(exact_distinct_threshold=2**40, exact_value_bytes_per_field_profile=2**60)  # all exact
+    decided = values.decide(counts, options)
+    stored = values.distributions(explode_fields(objects), counts, decided, options, "exact")
+    told = values.field_summaries(summary_counts(counts), counts, decided, stored, options)
+    sums = told.drop("distinct_count_method", "distinct_algorithm", "distinct_error_rate", "stored_value_count")
     names = shape_fields(shapes(objects)).select("field_profile_id", "field_name", "observed_type")
     return names.join(sums, "field_profile_id").drop("field_profile_id")
 
@@ -185,18 +189,18 @@ def exact_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hll_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, counts, _ = _decided(spark, sf_dir)
     whole = counts.groupBy("field_profile_id").agg(F.count("*").alias("n_values"))
-    return values.hll_estimates(counts.filter("observed_type = 'integer'").select("field_profile_id", "value_hash"), 10).join(whole, "field_profile_id")
+    return values.hll_estimates(counts.select("field_profile_id", "value_hash"), 10).join(whole, "field_profile_id")
 
 
 def heavy_hitters_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = values.value_counts(order_fields(spark, sf_dir)).filter("observed_type = 'integer'")
-    ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy("field_profile_id").orderBy(F.desc("n"), F.col("text").cast("long"))))
-    return ranked.filter("rank <= 5").select("field_profile_id", "text", "n", "rank")
+    """The five most frequent values of every field profile; ties by the values' keys."""
+    found = values.heavy_hitters_exact(values.value_counts(order_fields(spark, sf_dir)), 5)
+    return found.select("field_profile_id", "observed_type", "text", "n", "rank")
 
 
 def heavy_hitters_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = values.heavy_hitters_sequential(order_fields(spark, sf_dir).filter("observed_type = 'integer'"), 16)
-    return found.select("field_profile_id", hex64(F.col("value_hash")).alias("value_hash"), "text", "n", "rank")
+    found = values.heavy_hitters_sequential(order_fields(spark, sf_dir), ValueProfile().heavy_hitter_limit)
+    return found.select("field_profile_id", hex64(F.col("value_hash")).alias("value_hash"), "observed_type", "text", "n", "rank")
 
 
 def heavy_hitter_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,7 +276,7 @@ def source_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diag_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.row_counts(_whole(spark, sf_dir)).filter("table_name IN ('prof_shape', 'prof_shape_field', 'prof_field_summary', 'prof_field_value')")
+    return d.row_counts(_whole(spark, sf_dir))
 
 
 def diag_sample_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,14 +297,53 @@ def diag_top_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def diag_priority_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Most priority samples that any key of a scope has."""
-    found = samples.object_samples(order_objects(spark, sf_dir), Sampling()).filter("sample_kind = 'priority_sample'")
-    return found.groupBy("sample_scope", "sample_key").agg(F.count("*").alias("n")).groupBy("sample_scope").agg(F.max("n").alias("most"), F.count("*").alias("n_keys"))
+    found = samples.object_samples(order_objects(spark, sf_dir), Sampling())
+    above_none = d.object_priority_violations(found, dict.fromkeys(SCOPES, 0))
+    return above_none.groupBy("sample_scope").agg(F.max("rows").alias("most"), F.count("*").alias("n_keys"))
 
 
 def diag_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.orphans(_whole(spark, sf_dir))
 
 
+def profile_field_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All summaries of a whole profile; estimates are left to ``hll_estimate``."""
+    found = _whole(spark, sf_dir)["prof_field_summary"]
+    exact = F.when(F.col("distinct_count_method") == "exact", F.col("distinct_count")).otherwise(-1)
+    return found.withColumn("distinct_count", exact).withColumn("distinct_error_rate", F.coalesce("distinct_error_rate", F.lit(0.0))).withColumn("distinct_algorithm", F.coalesce("distinct_algorithm", F.lit("")))
+
+
+def diag_value_sample_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.value_sample_kinds(samples.value_samples(event_objects(spark, sf_dir), Sampling()))
+
+
+def diag_value_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Field profiles with more priority values than a limit of three, which the default of four allows."""
+    return d.value_priority_violations(samples.value_samples(order_objects(spark, sf_dir), Sampling()), 3)
+
+
+def diag_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context rows of each field profile, and how many of its values have more than one."""
+    places = materialize(heavy_hitter_context(spark, sf_dir).withColumn("sample_kind", F.lit(d.CONTEXT)))
+    more = d.context_duplicates(places, 1).groupBy("field_profile_id").agg(F.count("*").alias("above_one"))
+    return d.context_rows(places).join(more, "field_profile_id", "left").withColumn("above_one", F.coalesce("above_one", F.lit(0)))
+
+
+def diag_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphans of a profile that lost the shapes of ``$.meta`` and the fields named ``qty``."""
+    tables = dict(_whole(spark, sf_dir))
+    tables["prof_shape"] = tables["prof_shape"].filter("canonical_path <> '$.meta'")
+    tables["prof_shape_field"] = tables["prof_shape_field"].filter("field_name <> 'qty'")
+    return d.orphans(tables)
+
+
+def diag_shapes_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes without a first sample, where those of array items are lost."""
+    objects = materialize(order_objects(spark, sf_dir))
+    found = samples.object_samples(objects, Sampling()).filter("canonical_path <> '$.items[]'")
+    return d.shapes_without_first_seen({"prof_shape": shapes(objects), "prof_object_sample": found}).select("shape_id", "canonical_path", "object_count")
+
+
 # ------------------------------------------------------------------ references
 
 REF_COUNTS = [("$", "s/root"), ("$.items[0]", "s/item"), ("$.items[0]", "s/old"), ("$.x", "s/none")]
@@ -330,7 +373,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         scan_node_counts, path_inventory, resolve_context, shape_counts, shape_field_counts, field_summary, field_summary_nested, exact_or_approximate, exact_distribution,
         hll_estimate, heavy_hitters_top, heavy_hitters_sequential, heavy_hitter_context, type_distribution, document_counts, value_text, stable_hash, object_samples, object_samples_first, value_samples, sample_keys_except,
-        source_summary, diag_row_counts, diag_sample_kinds, diag_value_sources, diag_distinct_methods, diag_top_paths, diag_priority_bounds, diag_orphans, refs_contexts, refs_seeds,
+        source_summary, diag_row_counts, diag_sample_kinds, diag_value_sources, diag_distinct_methods, diag_top_paths, diag_priority_bounds, diag_orphans, profile_field_summary, diag_value_sample_kinds, diag_value_priority, diag_contexts, diag_broken, diag_shapes_unseen, refs_contexts, refs_seeds,
     )
 }
 
@@ -385,7 +428,7 @@ ORACLES: dict[str, str] = {
         e AS (SELECT vc.*, {sql_key('vc.type', 'vc.text')} AS vk FROM vc JOIN dd ON vc.fp = dd.fp WHERE is_exact), h AS (SELECT *, {sql_hex('vk')} AS value_hash FROM e)
         SELECT fp AS field_profile_id, value_hash, type AS value_type, text AS value_text, n AS count, (row_number() OVER (PARTITION BY fp ORDER BY n DESC, value_hash))::INT AS rank FROM h""",
     "hll_estimate": f"""WITH {ORDER_SQL.strip()}, {_SHAPES.strip()}, {_FIELDS.strip()},
-        h0 AS (SELECT fp, {sql_fnv("'Integer(' || chr(34) || text || chr(34) || ')'")} AS h FROM vc WHERE type = 'integer'),
+        k0 AS (SELECT fp, {sql_key('type', 'text')} AS vk FROM vc), h0 AS (SELECT fp, {sql_fnv('vk')} AS h FROM k0),
         h1 AS (SELECT fp, xor(h, h >> 33) AS h FROM h0), h2 AS (SELECT fp, ((h % 4294967296) * 18397679294719823053::UHUGEINT + (((h >> 32) * 18397679294719823053::UHUGEINT) % 4294967296) * 4294967296) % 18446744073709551616::UHUGEINT AS h FROM h1),
         h3 AS (SELECT fp, xor(h, h >> 33) AS h FROM h2), h4 AS (SELECT fp, ((h % 4294967296) * 14181476777654086739::UHUGEINT + (((h >> 32) * 14181476777654086739::UHUGEINT) % 4294967296) * 4294967296) % 18446744073709551616::UHUGEINT AS h FROM h3),
         h5 AS (SELECT fp, xor(h, h >> 33) AS h FROM h4),
@@ -395,7 +438,8 @@ ORACLES: dict[str, str] = {
         r AS (SELECT fp, 1024 - used AS zeros, (0.7213 / (1 + 1.079 / 1024)) * 1024 * 1024 / (inv + 1024 - used) AS raw FROM z)
         SELECT r.fp AS field_profile_id, round(CASE WHEN raw <= 2.5 * 1024 AND zeros > 0 THEN 1024 * ln(1024.0 / zeros) ELSE raw END)::BIGINT AS estimate, dd.n_values FROM r JOIN dd ON r.fp = dd.fp""",
     "heavy_hitters_top": f"""WITH {ORDER_SQL.strip()}, {_SHAPES.strip()}, {_FIELDS.strip()},
-        q AS (SELECT fp AS field_profile_id, text, n, (row_number() OVER (PARTITION BY fp ORDER BY n DESC, text::BIGINT))::INT AS rank FROM vc WHERE type = 'integer') SELECT * FROM q WHERE rank <= 5""",
+        tk AS (SELECT *, CASE WHEN type IN ('object', 'array') THEN {sql_hex('text')} ELSE text END AS sk FROM vc),
+        q AS (SELECT fp AS field_profile_id, type AS observed_type, text, n, (row_number() OVER (PARTITION BY fp ORDER BY n DESC, sk))::INT AS rank FROM tk) SELECT * FROM q WHERE rank <= 5""",
     "heavy_hitter_context": f"""WITH {ORDER_SQL.strip()}, {_SHAPES.strip()}, {_FIELDS.strip()},
         q AS (SELECT fp, text, row_number() OVER (PARTITION BY fp ORDER BY n DESC, text::BIGINT) AS r FROM vc WHERE fp IN (SELECT fp FROM fp WHERE name = 'qty')),
         c AS (SELECT fv.fp, fv.text, fv.doc, fv.field_path, (row_number() OVER (PARTITION BY fv.fp, fv.text ORDER BY doc, field_path))::INT AS k FROM fv JOIN q ON fv.fp = q.fp AND fv.text = q.text WHERE q.r <= 3)
@@ -437,9 +481,14 @@ ORACLES: dict[str, str] = {
         SELECT 'unknown' AS source_format, (SELECT count(*) FROM o) AS total_document_count, (SELECT count(*) FROM obj) AS total_object_count, (SELECT count(*) FROM f WHERE type = 'array') AS total_array_count,
                (SELECT count(*) FROM f WHERE type IN ('string', 'integer')) AS total_scalar_count, (SELECT count(DISTINCT canon) FROM obj) AS total_canonical_path_count, (SELECT count(DISTINCT path) FROM obj) AS total_site_path_count,
                (SELECT count(*) FROM sh) AS total_shape_count, (SELECT count(*) FROM fp) AS total_field_profile_count, (SELECT sum(CASE WHEN is_exact THEN n_values ELSE least(n_values, 128) END)::BIGINT FROM dd) AS total_stored_value_count""",
-    "diag_row_counts": f"""WITH {ORDER_SQL.strip()}, {_SHAPES.strip()}, {_FIELDS.strip()}
+    "diag_row_counts": f"""WITH {ORDER_SQL.strip()}, {_SHAPES.strip()}, {_FIELDS.strip()},
+        s AS (SELECT fset = '[]' AS blank, unnest(['canonical_path', 'site_path', 'field_set', 'type_set']) AS scope, unnest([canon, canon || path, canon || path || fset, canon || path || fset || tset]) AS key, unnest([1, 1, 2, 4]) AS lim FROM obj),
+        g AS (SELECT scope, key, lim, count(*) AS n, count(*) FILTER (NOT blank) AS m FROM s GROUP BY ALL),
+        v AS (SELECT fp, count(*) AS n, count(*) FILTER (text NOT IN ('{{}}', '[]') OR type = 'string') AS m FROM fv GROUP BY fp)
         SELECT 'prof_shape' AS table_name, count(*) AS rows FROM sh UNION ALL SELECT 'prof_shape_field', count(*) FROM fp UNION ALL SELECT 'prof_field_summary', count(*) FROM fp
-        UNION ALL SELECT 'prof_field_value', sum(CASE WHEN is_exact THEN n_values ELSE least(n_values, 128) END)::BIGINT FROM dd""",
+        UNION ALL SELECT 'prof_field_value', sum(CASE WHEN is_exact THEN n_values ELSE least(n_values, 128) END)::BIGINT FROM dd
+        UNION ALL SELECT 'prof_field_value_sample', sum(1 + (m > 0)::INT + least(n, 4))::BIGINT FROM v
+        UNION ALL SELECT 'prof_object_sample', sum(1 + (m > 0)::INT + least(n, lim))::BIGINT FROM g UNION ALL SELECT 'prof_source_summary', 1""",
     "diag_sample_kinds": f"""WITH {ORDER_SQL.strip()},
         s AS (SELECT fset = '[]' AS blank, unnest(['canonical_path', 'site_path', 'field_set', 'type_set']) AS scope, unnest([canon, canon || path, canon || path || fset, canon || path || fset || tset]) AS key, unnest([1, 1, 2, 4]) AS lim FROM obj),
         g AS (SELECT scope, key, lim, count(*) AS n, count(*) FILTER (NOT blank) AS m FROM s GROUP BY ALL)
@@ -456,6 +505,29 @@ ORACLES: dict[str, str] = {
         s AS (SELECT unnest(['canonical_path', 'site_path', 'field_set', 'type_set']) AS scope, unnest([canon, canon || path, canon || path || fset, canon || path || fset || tset]) AS key, unnest([1, 1, 2, 4]) AS lim FROM obj),
         g AS (SELECT scope, key, least(count(*), any_value(lim)) AS n FROM s GROUP BY ALL) SELECT scope AS sample_scope, max(n)::BIGINT AS most, count(*) AS n_keys FROM g GROUP BY scope""",
     "diag_orphans": "SELECT unnest(['prof_shape_field', 'prof_field_summary', 'prof_field_value', 'prof_field_value_sample']) AS table_name, 0::BIGINT AS rows",
+    "profile_field_summary": f"""WITH {ORDER_SQL.strip()}, {_SHAPES.strip()}, {_FIELDS.strip()},
+        s AS (SELECT fp AS field_profile_id, count(*) AS profiled_count, 0::BIGINT AS null_count, count(*) AS non_null_count, count(*) FILTER (type = 'object' AND text = '{{}}') AS empty_object_count,
+                     count(*) FILTER (type = 'array' AND text = '[]') AS empty_array_count, count(*) FILTER (type = 'string' AND text = '') AS empty_string_count FROM fv GROUP BY fp)
+        SELECT s.*, CASE WHEN is_exact THEN n_values ELSE -1 END AS distinct_count, CASE WHEN is_exact THEN 'exact' ELSE 'approximate' END AS distinct_count_method, CASE WHEN is_exact THEN '' ELSE 'hyperloglog' END AS distinct_algorithm,
+               CASE WHEN is_exact THEN 0.0::DOUBLE ELSE 0.008125::DOUBLE END AS distinct_error_rate, CASE WHEN is_exact THEN n_values ELSE least(n_values, 128) END AS stored_value_count FROM s JOIN dd ON s.field_profile_id = dd.fp""",
+    "diag_value_sample_kinds": f"""{_EVENT},
+        y AS (SELECT c.*, {sql_hex(f"shape_id || {U} || 'k' || {U} || 'integer'")} AS fp FROM c, (SELECT shape_id FROM x)),
+        p AS (SELECT *, ({sql_fnv(f"fp || {U} || doc || {U} || '$.k'")} % 9223372036854775808::UHUGEINT)::BIGINT AS pr FROM y),
+        q AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY pr, doc) AS rn, row_number() OVER (PARTITION BY fp ORDER BY doc) AS fs FROM p),
+        a AS (SELECT k, js, 'priority_sample' AS kind FROM q WHERE rn <= 4 UNION ALL SELECT k, js, unnest(['first_seen', 'first_non_empty']) FROM q WHERE fs = 1)
+        SELECT kind AS sample_kind, count(*) AS rows, round(sum(length(k)) / 1024.0 / 1024.0, 2) AS value_json_mb, round(sum(length(js)) / 1024.0 / 1024.0, 2) AS parent_json_mb, round(avg(length(js)), 1) AS avg_parent_json,
+               max(length(js))::INT AS max_parent_json FROM a GROUP BY kind""",
+    "diag_value_priority": f"""WITH {ORDER_SQL.strip()}, {_SHAPES.strip()}, {_FIELDS.strip()} SELECT fp AS field_profile_id, 4::BIGINT AS rows FROM fv GROUP BY fp HAVING count(*) >= 4""",
+    "diag_contexts": f"""WITH {ORDER_SQL.strip()}, {_SHAPES.strip()}, {_FIELDS.strip()},
+        q AS (SELECT fp, text, n, row_number() OVER (PARTITION BY fp ORDER BY n DESC, text::BIGINT) AS r FROM vc WHERE fp IN (SELECT fp FROM fp WHERE name = 'qty'))
+        SELECT fp AS field_profile_id, sum(least(n, 2))::BIGINT AS rows, count(*) AS distinct_values, count(*) FILTER (n > 1) AS above_one FROM q WHERE r <= 3 GROUP BY fp""",
+    "diag_broken": f"""WITH {ORDER_SQL.strip()}, {_SHAPES.strip()}, {_FIELDS.strip()},
+        v AS (SELECT fv.fp, count(*) AS n FROM fv WHERE name = 'qty' GROUP BY fv.fp)
+        SELECT 'prof_shape_field' AS table_name, count(*) AS rows FROM fp WHERE path = '$.meta' UNION ALL SELECT 'prof_field_summary', count(*) FROM fp WHERE name = 'qty'
+        UNION ALL SELECT 'prof_field_value', coalesce(sum(CASE WHEN is_exact THEN n_values ELSE least(n_values, 128) END), 0)::BIGINT FROM dd JOIN v ON dd.fp = v.fp
+        UNION ALL SELECT 'prof_field_value_sample', coalesce(sum(2 + least(n, 4)), 0)::BIGINT FROM v""",
+    "diag_shapes_unseen": f"""WITH {ORDER_SQL.strip()}, {_SHAPES.strip()}
+        SELECT shape_id, obj.canon AS canonical_path, count(*) AS object_count FROM obj JOIN sh ON obj.path = sh.path AND obj.tset = sh.tset WHERE obj.canon = '$.items[]' GROUP BY ALL""",
     "refs_contexts": f"""WITH c AS (SELECT * FROM {_values(REF_COUNTS, 'site_path, schema_path')}), p AS (SELECT * FROM {_values(REF_PATHS, 'schema_path, object_path')}),
         j AS (SELECT c.*, p.object_path, row_number() OVER (PARTITION BY site_path ORDER BY c.schema_path DESC, p.object_path DESC NULLS LAST) AS rn FROM c LEFT JOIN p ON c.schema_path = p.schema_path)
         SELECT site_path, coalesce(object_path, schema_path) AS canonical_path, schema_path FROM j WHERE rn = 1""",

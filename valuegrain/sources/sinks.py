@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 import sqlite3
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -107,7 +107,7 @@ SCHEMA: dict[str, dict[str, str]] = {
         "sample_rank": "INTEGER",
     },
 }
-#: Name, table and columns of each index.
+# Name, table and columns of each index: fixed values of the artifact.
 INDEXES = (
     ("idx_prof_object_sample_key", "prof_object_sample", "sample_scope, sample_key, sample_rank"),
     ("idx_prof_object_sample_shape", "prof_object_sample", "shape_id, sample_rank"),
@@ -153,8 +153,15 @@ def write_parquet(tables: Mapping[str, DataFrame], path: str) -> None:
         tables[name].write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
 
 
-def read_parquet(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in ORDER}
+def read_parquet(spark: SparkSession, path: str, names: Iterable[str] = ORDER) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in names}
+
+
+def folder_catalog(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(kind, name) of the tables of a Parquet profile."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return sorted(("table", x.getPath().getName()) for x in found if x.isDirectory())
 
 
 def write_sqlite(tables: Mapping[str, DataFrame], path: str) -> None:
@@ -175,15 +182,23 @@ def write_sqlite(tables: Mapping[str, DataFrame], path: str) -> None:
     db.close()
 
 
+def sqlite_catalog(path: str) -> list[tuple[str, str]]:
+    """(kind, name) of the tables and views of a file."""
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        return db.execute("SELECT type, name FROM sqlite_master WHERE type IN ('table', 'view') AND name NOT LIKE 'sqlite_%' ORDER BY name").fetchall()
+
+
 def read_sqlite(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The seven tables of a file as DataFrames."""
+    """Those of the seven tables and of their columns that a file has, as DataFrames."""
     out = {}
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
         for name in ORDER:
-            cols = columns(name)
-            kind = ", ".join(f"`{c}` {_spark_type(SCHEMA[name][c])}" for c in cols)
-            rows = db.execute(f"SELECT {', '.join(cols)} FROM {name}").fetchall()
-            out[name] = spark.createDataFrame(rows, kind)
+            there = {r[1] for r in db.execute(f"PRAGMA table_info({name})")}
+            cols = [c for c in columns(name) if c in there]
+            if cols:
+                kind = ", ".join(f"`{c}` {_spark_type(SCHEMA[name][c])}" for c in cols)
+                rows = db.execute(f"SELECT {', '.join(cols)} FROM {name}").fetchall()
+                out[name] = spark.createDataFrame(rows, kind)
     return out
 
 
