@@ -13,6 +13,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not base:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all share")
         base = "file://" + tempfile.mkdtemp(prefix="valuegrain-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/profile-{uuid.uuid4().hex}"
