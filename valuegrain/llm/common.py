@@ -6,7 +6,7 @@ import atexit
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 #: Characters that separate words: space and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Folders of this process, by session folder, removed at exit.
 _made: set[str] = set()
+#: What this worker process keeps from one task to the next, by operator.
+_kept: dict[str, object] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,21 +66,32 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Fewer rows in an Arrow batch than Spark's default, for texts are long; an own setting stays.
+def small_batches(spark: SparkSession, rows: int = 800, size: str = "8m") -> None:
+    """Fewer rows and bytes in an Arrow batch than Spark's default, for texts are long; an own setting stays.
 
     It holds for the session, since results are evaluated after an operator has returned.
     """
     if spark.conf.get(BATCH_ROWS) == "10000":
         spark.conf.set(BATCH_ROWS, str(rows))
+    if spark.conf.get(BATCH_BYTES) == "67108864b":
+        spark.conf.set(BATCH_BYTES, size)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+def kept(owner: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once in a worker process and kept until tasks of another owner run in it."""
+    if owner not in _kept:
+        _kept[owner] = make()
+    return _kept[owner]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int, owner: str = "") -> Iterator[pa.RecordBatch]:
     """Arrow batches in smaller parts, so that a worker turns few texts at once into Python objects.
 
-    At the end freed memory goes back to the system: workers are kept for later tasks, and beside the
+    What the worker keeps of other owners goes first.  At the end freed memory goes back to the system: workers are kept for later tasks, and beside the
     JVM's heap each executor has little room.
     """
+    for other in [k for k in _kept if k != owner]:
+        del _kept[other]
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

@@ -48,8 +48,9 @@ def token_pieces(docs: DataFrame, path: str | None = None, limit: int = LIMIT, w
     """doc_id, piece, start, length, ids_crc32 of every document's pieces; ``with_ids`` adds the ids' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path or tokenizer_path())
-        for batch in slices(batches, 256):
+        own = path or tokenizer_path()
+        encode = encoder(own)
+        for batch in slices(batches, 256, own):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, raw in enumerate(encode(batch.column(1).to_pylist())):
                 raw += END

@@ -12,7 +12,8 @@ import os
 import re
 import struct
 from collections.abc import Iterator
-from functools import cache
+
+from .common import kept
 
 #: Characters for which Python's and the tokenizer's lower-casing and classes agree.
 _OTHER = re.compile("[^\t\n\x0b\x0c\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ſ–—‘-‟•…€]|<\\|(?:start|end)oftext\\|>")
@@ -58,8 +59,8 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}  # of words split by the pattern
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch(texts, add_special_tokens=False):
-            ids = e.ids
+        for text in texts:  # one at a time: an encoding holds some 100 bytes a token
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             yield struct.pack(f"<{len(ids)}I", *ids)
 
     def _encode_pieces(self, pieces: list[str]) -> Iterator[bytes]:
@@ -108,7 +109,6 @@ class Encoder:
         return out
 
 
-@cache
 def encoder(path: str) -> Encoder:
     """One per worker process, so that later tasks find its caches filled."""
-    return Encoder(path)
+    return kept(path, lambda: Encoder(path))
