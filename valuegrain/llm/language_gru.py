@@ -33,7 +33,7 @@ MAX_BROADCAST_LANGS = 100_000
 HIDDEN = 8
 SEGMENT = 128
 #: Segments that run as one batch.
-BATCH = 2048
+BATCH = 1024
 UNDETERMINED = "und"
 F4 = np.float32
 

@@ -22,7 +22,7 @@ _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+").fin
 #: Words and pieces remembered by a worker (about 200 bytes each): the first it meets, so the common ones;
 #: after STALE times as many others, it starts anew.
 STALE = 20
-MAX_CACHE = 300_000
+MAX_CACHE = 150_000
 #: Byte-level tokenizers write visible Latin-1 bytes as themselves, the others as characters from 256 on.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
