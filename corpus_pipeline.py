@@ -4,7 +4,8 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writ
 Parquet and reads it again as the next stage's documents.  All but the last return the columns of
 ``docs``.
 
-1. language ID drops texts without a letter, and documents whose language a learned network can't tell;
+1. language ID drops texts without a letter, and documents whose language a learned network can't tell: its score of the
+   likeliest language, the mean over all bytes of the text, is a half at most (``language_gru.least_score``);
 2. exact dedup keeps the fullest copy of each text;
 3. near dedup keeps one document of each group of near copies;
 4. mixing brings the sources to their target weights: a document appears once for every whole time
@@ -49,7 +50,7 @@ def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     docs = docs.filter(F.col("text").rlike(r"\p{L}"))
     if not net.langs:  # nothing to learn from: no language is told, and none is a reason to drop a text
         return docs
-    told = language_gru.predict(docs, net, docs.columns).filter(F.col("lang_pred") != language_gru.UNDETERMINED)
+    told = language_gru.predict(docs, net, docs.columns).filter((F.col("lang_pred") != language_gru.UNDETERMINED) & (F.col("score") > language_gru.least_score(net)))
     return told.select(*(F.col(f"carried_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 

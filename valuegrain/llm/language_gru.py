@@ -224,6 +224,11 @@ def predict(docs: DataFrame, net: Gru, carried: Sequence[str] = ()) -> DataFrame
     return rows.mapInArrow(run, ", ".join([*told, *(f"carried_{i} {kinds[c]}" for i, c in enumerate(carried))]))
 
 
+def least_score(net: Gru) -> float:
+    """A text's language is told by a score above this: most of its positions' probability, or twice chance where over four languages share it."""
+    return min(0.5, 2 / max(1, len(net.langs)))
+
+
 def op6_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return predict(docs, train(docs))
