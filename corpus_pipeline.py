@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from valuegrain.llm import exact_dedup, language_gru, mixing, near_dedup, packing
-from valuegrain.llm.common import shared_dir, written
+from valuegrain.llm.common import shared_dir, shrink_heaps, written
 
 
 #: Rows (an id and a number, or an id with a digest) that are broadcast at most, about 16 MB; beyond, joins shuffle.
@@ -46,6 +46,7 @@ def _free(name: str, docs: DataFrame) -> str:
 
 
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shrink_heaps(spark)
     net = language_gru.train(docs)
     docs = docs.filter(F.col("text").rlike(r"\p{L}"))
     if not net.langs:  # nothing to learn from: no language is told, and none is a reason to drop a text
@@ -70,6 +71,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shrink_heaps(spark)
     copy = _free("copy", docs)
     gone = written(near_dedup.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias(copy)).distinct())
     return docs.join(_sized(gone, MAX_BROADCAST_IDS), docs["doc_id"] == F.col(copy), "left_anti").select(*docs.columns)
@@ -93,6 +95,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shrink_heaps(spark)
     return packing.pack(packing.token_pieces(docs))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.conftest import make_docs, words
 from valuegrain.llm import backoff_lm, mixing, packing, tokens, url_filter
-from valuegrain.llm.common import written
+from valuegrain.llm.common import shrink_heaps, written
 
 # ------------------------------------------------------------------ URLs
 
@@ -344,6 +344,13 @@ def test_pipeline_drops_texts_whose_language_is_not_told(spark):
     assert sorted(r["text"] for r in corpus_pipeline.drop_exact_copies(spark, told, "").collect()) == sorted(plain)
 
 
+def test_heaps_shrink_where_allowed(spark):
+    gc = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName())
+    before = gc()
+    shrink_heaps(spark)
+    assert gc() > before
+
+
 def test_pipeline_keeps_texts_of_repeated_and_missing_ids(spark):
     rng = random.Random(4)
     a, b, c, d, e = (words(rng, 40) for _ in range(5))

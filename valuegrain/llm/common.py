@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +78,18 @@ def small_batches(spark: SparkSession, rows: int = 800, size: str = "8m") -> Non
         spark.conf.set(BATCH_BYTES, size)
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Executors collect garbage now, so that heaps grown by earlier stages go back to the system before workers need room beside them.
+
+    Nothing depends on it: where Spark doesn't allow the call, heaps stay as they are.
+    """
+    n = spark.sparkContext.defaultParallelism
+    try:
+        spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+    except PySparkException:
+        pass
+
+
 def kept(owner: str, make: Callable[[], object]) -> object:
     """What ``make`` gives, made once in a worker process and kept until tasks of another owner run in it."""
     if owner not in _kept:
@@ -87,14 +100,21 @@ def kept(owner: str, make: Callable[[], object]) -> object:
 def slices(batches: Iterator[pa.RecordBatch], rows: int, owner: str = "") -> Iterator[pa.RecordBatch]:
     """Arrow batches in smaller parts, so that a worker turns few texts at once into Python objects.
 
-    What the worker keeps of other owners goes first.  At the end freed memory goes back to the system: workers are kept for later tasks, and beside the
-    JVM's heap each executor has little room.
+    What the worker keeps of other owners goes first.  Then and at the end freed memory goes back to the system: workers are kept for later tasks, and
+    beside the JVM's heap each executor has little room.
     """
-    for other in [k for k in _kept if k != owner]:
-        del _kept[other]
+    if others := [k for k in _kept if k != owner]:
+        for other in others:
+            del _kept[other]
+        _give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    _give_back()
+
+
+def _give_back() -> None:
+    """Freed memory of this worker process goes back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
