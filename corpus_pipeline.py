@@ -5,7 +5,8 @@ Parquet and reads it again as the next stage's documents.  All but the last retu
 ``docs``.
 
 1. language ID drops texts without a letter, and documents whose language a learned network can't tell: its score of the
-   likeliest language, the mean over all bytes of the text, is a half at most (``language_gru.least_score``);
+   likeliest language, the mean over all bytes of the text, is a half at most (``language_gru.least_score``), so
+   texts in several languages, none of them in the majority, go too;
 2. exact dedup keeps the fullest copy of each text;
 3. near dedup keeps one document of each group of near copies;
 4. mixing brings the sources to their target weights: a document appears once for every whole time
